@@ -224,7 +224,9 @@ def nearest(pages: DataFrame, k: int = 5, width: int = 64, wanted: int = 900) ->
     # four later steps read the classes: they are written once into the shared folder
     classes = cut_lineage(classes.select(F.col("ids")[0].alias("id"), "ids", "h1", "h2", "embedding"))
     n = classes.count()
-    taken = classes.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select("embedding").toArrow().column(0)
+    # by hash, about FIT_ROWS of them and never more than half as many again
+    share = min(1 << 30, FIT_ROWS * (1 << 30) // max(n, 1))
+    taken = classes.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share).limit(FIT_ROWS * 3 // 2).select("embedding").toArrow().column(0)
     if not n:
         return spark.createDataFrame([], "rev_id long, other long, sim double, rank int")
     sample = unit(np.asarray(taken.combine_chunks().flatten(), np.float32).reshape(-1, width)).astype(np.float32)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import lookalike, neighbors, split
+from pagewright.llm import lookalike, neighbors, redact, split
 from pagewright.session import table
 
 
@@ -20,6 +20,25 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "corpus_pages"), table(spark, sf_dir, "embed_config"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a body with each kind of personal data that it holds."""
+    return _personal(spark, sf_dir).select("rev_id", "line_number", "pattern_name").distinct()
+
+
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each match, with the pseudonym that links equal values."""
+    return _personal(spark, sf_dir)
+
+
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every body with placeholders."""
+    return redact.redact_bodies(table(spark, sf_dir, "corpus_pages"), table(spark, sf_dir, "redact_types"))
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact.find_personal_data(table(spark, sf_dir, "corpus_pages"), table(spark, sf_dir, "redact_types"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows whose title or body look the same but differ."""
     return lookalike.equal_look_pairs(table(spark, sf_dir, "corpus_pages"))
@@ -45,7 +64,7 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.nearest(table(spark, sf_dir, "corpus_pages"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_forms, p3_classes, p4_found, p4_nearest)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p2_bodies, p3_found, p3_forms, p3_classes, p4_found, p4_nearest)}
 
 ORACLE_SQL = {
     "p1_found": """
