@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import lookalike, neighbors, redact, split
+from pagewright.llm import leakage, lookalike, neighbors, redact, split
 from pagewright.session import table
 
 
@@ -64,7 +64,12 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.nearest(table(spark, sf_dir, "corpus_pages"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p2_bodies, p3_found, p3_forms, p3_classes, p4_found, p4_nearest)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of evaluation items."""
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p2_bodies, p3_found, p3_forms, p3_classes, p4_found, p4_nearest, p7_found)}
 
 ORACLE_SQL = {
     "p1_found": """
