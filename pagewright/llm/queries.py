@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import leakage, lookalike, neighbors, redact, split
+from pagewright.llm import language, leakage, lookalike, neighbors, packing, redact, split
 from pagewright.session import table
 
 
@@ -64,12 +64,37 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.nearest(table(spark, sf_dir, "corpus_pages"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of every capacity."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+
+
+def p6_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and unused room of each capacity."""
+    return packing.utilisation(p6_packed(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of evaluation items."""
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p2_bodies, p3_found, p3_forms, p3_classes, p4_found, p4_nearest, p7_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the documents with a missing or wrong label or more than one language."""
+    return language.language_cases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of all documents with language and confidence."""
+    return language.language_segments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of all documents, and what their labels name."""
+    return language.document_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p2_bodies, p3_found, p3_forms, p3_classes, p4_found, p4_nearest, p6_packed, p6_utilisation, p7_found, p8_found, p8_segments, p8_documents)}
 
 ORACLE_SQL = {
     "p1_found": """
