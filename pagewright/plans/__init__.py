@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.plans import problem5
+from pagewright.plans import graphs, listings, problem5, ranking
 
-MODULES = [problem5]
+MODULES = [ranking, listings, graphs, problem5]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problem5.p5_found(spark, sf_dir)
+    return ranking.q_bm25(spark, sf_dir)
