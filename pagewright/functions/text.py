@@ -16,9 +16,14 @@ WEIGHTS = {"title": 3, "summary": 2, "body": 1}
 MODES = {"simple": "unigrams", "en": "unigrams", "en_stem": "unigrams", "auto": "dictionary", "gse": "dictionary", "zh": "dictionary", "cjk": "dictionary", "jieba": "dictionary"}
 
 
+def lowered(text: Column) -> Column:
+    """Lower case letter by letter: the dotted capital I becomes a plain i. Null is empty."""
+    return F.lower(F.translate(F.coalesce(text, F.lit("")), "İ", "i"))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased tokens in order; null text has none."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
+    return F.regexp_extract_all(lowered(text), F.lit(TOKEN), F.lit(0))
 
 
 def query_tokens(text: str) -> list[str]:

@@ -54,22 +54,33 @@ def bm25(pages: DataFrame, query: str, c: Search = Search(), per_wiki: bool = Fa
     if not times:
         return pages.withColumn("bm25", F.lit(0.0))
     terms = list(times)
-    toks = {f"_{n}": X.tokens(F.col(n)) for n in X.WEIGHTS}
-    counted = pages.withColumns(toks)
-    tf = F.array(*[sum((F.size(F.filter(F.col(f"_{n}"), _is(t))) * w for n, w in X.WEIGHTS.items()), F.lit(0)) for t in terms])
-    counted = counted.withColumns({"_tf": tf, "_len": sum((F.size(F.col(f"_{n}")) * w for n, w in X.WEIGHTS.items()), F.lit(0)).cast("long")}).drop(*toks)
-    stats = (counted.groupBy("wiki") if per_wiki else counted.groupBy()).agg(
+    stats = (_counted(pages, terms).groupBy("wiki") if per_wiki else _counted(pages, terms).groupBy()).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.count_if(F.col("_tf")[k] > 0) for k in range(len(terms))]).alias("_df")
     )
+    # the second pass tokenises only texts that hold a term as a substring; all others score 0
+    some = F.lit(False)
+    for n in X.WEIGHTS:
+        low = X.lowered(F.col(n))
+        for t in terms:
+            some = some | F.contains(low, F.lit(t))
+    counted = _counted(pages, terms, some)
     # statistics are one row, or one a wiki
     joined = counted.join(stats, "wiki") if per_wiki else counted.crossJoin(F.broadcast(stats))
     parts = [times[t] * _idf(F.col("_n"), F.col("_df")[k]) * _part(F.col("_tf")[k], F.col("_len"), F.col("_avg"), c) for k, t in enumerate(terms)]
     score = sum(parts[1:], parts[0])
-    return joined.withColumn("bm25", F.when(F.col("_avg") > 0, score).otherwise(0.0)).drop("_tf", "_len", "_n", "_avg", "_df")
-
-
-def _is(term: str):
-    return lambda x: x == term
+    return joined.withColumn("bm25", F.when(F.col("_tf").isNotNull() & (F.col("_avg") > 0), score).otherwise(0.0)).drop("_tf", "_len", "_n", "_avg", "_df")
+
+
+def _counted(pages: DataFrame, terms: list[str], where: Column | None = None) -> DataFrame:
+    """Adds _tf, the weighted count of each term, and _len, of the rows that meet a condition; null for others."""
+    pick = lambda c: c if where is None else F.when(where, c)
+    toks = pages.withColumns({f"_{n}": pick(X.tokens(F.col(n))) for n in X.WEIGHTS})
+    hits = toks.withColumns({f"_h{n}": F.filter(f"_{n}", lambda x: x.isin(terms)) for n in X.WEIGHTS})
+    count = lambda n, t: F.size(F.col(f"_h{n}")) - F.size(F.array_remove(F.col(f"_h{n}"), t))
+    tf = F.array(*[sum((count(n, t) * w for n, w in X.WEIGHTS.items()), F.lit(0)) for t in terms])
+    size = sum((F.size(F.col(f"_{n}")) * w for n, w in X.WEIGHTS.items()), F.lit(0)).cast("long")
+    out = hits.withColumns({"_tf": F.when(F.col("_body").isNotNull(), tf), "_len": size})
+    return out.drop(*[f"_{n}" for n in X.WEIGHTS], *[f"_h{n}" for n in X.WEIGHTS])
 
 
 def bm25_postings(posted: DataFrame, lengths: DataFrame, query: str, c: Search = Search()) -> DataFrame:

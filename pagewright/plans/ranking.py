@@ -138,7 +138,7 @@ ORACLE_SQL = {
     "q_semantic_topk": PAGES + f"select wiki, slug, {_ROUND} as score from (select *, {_COS} * {_STATUS} * coalesce(confidence, 1.0) as score from pages where coalesce(type, '') <> 'section' and len(embedding) = 64 and len([1 for x in embedding if isnan(x)]) = 0 order by score desc, slug, wiki limit 20)",
     "q_hybrid": _scores() + f""", unit as (select *, case when len(embedding) = 64 and len([1 for x in embedding if isnan(x)]) = 0 then [cast(case when nn > 0 then x / nn else x end as float)::double for x in embedding] end as u
   from (select *, sqrt(list_sum([x::double * x::double for x in embedding])) as nn from scored)),
-mixed as (select *, (0.5 * greatest(coalesce(list_inner_product(u, {_VEC}), 0), 0) + 0.5 * bm25 / (select max(bm25) from scored)) * mult as score from unit)
+mixed as (select *, (0.5 * coalesce(greatest(list_sum([x[1] * x[2] for x in list_zip(u, {_VEC})]), 0), 0) + 0.5 * bm25 / (select max(bm25) from scored)) * mult as score from unit)
 select wiki, slug, {_ROUND} as score from (select * from mixed where score > 0 order by score desc, slug, wiki limit 20)""",
     "q_cross_wiki": _scores(True) + f"select wiki, slug, score from (select wiki, slug, {_ROUND} as score from (select *, bm25 * mult as score, row_number() over (partition by wiki order by bm25 * mult desc, slug) as r from scored where bm25 > 0) where r <= 10) order by score desc, slug, wiki limit 10",
     "q_normalise": "select vec_id, round(list_sum([cast(x / n as float)::double for x in embedding]), 4) as total from (select *, sqrt(list_sum([x::double * x::double for x in embedding])) as n from embeddings)",
