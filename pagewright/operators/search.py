@@ -6,6 +6,7 @@ whole index, whatever filter a query has. Scores are double; ties go by slug.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -58,11 +59,7 @@ def bm25(pages: DataFrame, query: str, c: Search = Search(), per_wiki: bool = Fa
         F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.count_if(F.col("_tf")[k] > 0) for k in range(len(terms))]).alias("_df")
     )
     # the second pass tokenises only texts that hold a term as a substring; all others score 0
-    some = F.lit(False)
-    for n in X.WEIGHTS:
-        low = X.lowered(F.col(n))
-        for t in terms:
-            some = some | F.contains(low, F.lit(t))
+    some = X.lowered(F.concat_ws(" ", *X.WEIGHTS)).rlike("|".join(map(re.escape, terms)))
     counted = _counted(pages, terms, some)
     # statistics are one row, or one a wiki
     joined = counted.join(stats, "wiki") if per_wiki else counted.crossJoin(F.broadcast(stats))
@@ -73,14 +70,14 @@ def bm25(pages: DataFrame, query: str, c: Search = Search(), per_wiki: bool = Fa
 
 def _counted(pages: DataFrame, terms: list[str], where: Column | None = None) -> DataFrame:
     """Adds _tf, the weighted count of each term, and _len, of the rows that meet a condition; null for others."""
-    pick = lambda c: c if where is None else F.when(where, c)
-    toks = pages.withColumns({f"_{n}": pick(X.tokens(F.col(n))) for n in X.WEIGHTS})
-    hits = toks.withColumns({f"_h{n}": F.filter(f"_{n}", lambda x: x.isin(terms)) for n in X.WEIGHTS})
-    count = lambda n, t: F.size(F.col(f"_h{n}")) - F.size(F.array_remove(F.col(f"_h{n}"), t))
-    tf = F.array(*[sum((count(n, t) * w for n, w in X.WEIGHTS.items()), F.lit(0)) for t in terms])
+    rows = pages.withColumn("_some", F.lit(True) if where is None else where)
+    toks = rows.withColumns({f"_{n}": F.when(F.col("_some"), X.tokens(F.col(n))) for n in X.WEIGHTS})
+    # a field of weight w is counted w times, so one array holds the weighted hits of all terms
+    weighted = F.concat(*[F.filter(f"_{n}", lambda x: x.isin(terms)) for n, w in X.WEIGHTS.items() for _ in range(w)])
     size = sum((F.size(F.col(f"_{n}")) * w for n, w in X.WEIGHTS.items()), F.lit(0)).cast("long")
-    out = hits.withColumns({"_tf": F.when(F.col("_body").isNotNull(), tf), "_len": size})
-    return out.drop(*[f"_{n}" for n in X.WEIGHTS], *[f"_h{n}" for n in X.WEIGHTS])
+    hits = toks.withColumns({"_hits": weighted, "_len": size}).drop(*[f"_{n}" for n in X.WEIGHTS])
+    tf = F.array(*[F.size("_hits") - F.size(F.array_remove("_hits", t)) for t in terms])
+    return hits.withColumn("_tf", F.when(F.col("_some"), tf)).drop("_hits", "_some")
 
 
 def bm25_postings(posted: DataFrame, lengths: DataFrame, query: str, c: Search = Search()) -> DataFrame:
