@@ -11,7 +11,8 @@ Prose is what stays without front matter, code, tables, headings, links'
 targets and short quoted phrases; items of lists and quoted blocks are prose.
 
 Defined results: a null or empty text, or one without prose, has no segment and
-a null language. Confidence lies in (0, 1]. Ties go to the first language in
+a null language; rows without doc_id take no part, and rows that repeat a doc_id
+count as one document. Confidence lies in (0, 1]. Ties go to the first language in
 alphabetical order. Labels are compared after case, spelling and region.
 """
 
@@ -81,7 +82,7 @@ def prose(text: str) -> list[str]:
                 break
     out: list[str] = []
     para: list[str] = []
-    fence = None
+    fence, quoted = None, False
 
     def close() -> None:
         if para:
@@ -105,8 +106,9 @@ def prose(text: str) -> list[str]:
         if bare[0] == "#" or "|" in bare and _TABLE.match(bare) or _RULE.match(bare) or (line.startswith(("    ", "\t")) and not para and not _ITEM.match(line)):
             close()
             continue
-        if _ITEM.match(line):
+        if _ITEM.match(line) or (bare[0] == ">") != quoted:
             close()
+        quoted = bare[0] == ">"
         body = line[_MARK.match(line).end() :].strip()
         if body.startswith("#"):
             close()
@@ -346,7 +348,7 @@ def document_languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, lang, confidence, label_lang, label_ok, runs): main language by prose, what the label names, and the languages of whole runs.
 
     A run is two or more successive sentences of a language, or the only
-    sentence of the document. doc_id must be unique.
+    sentence of the document.
     """
     seg = language_segments(documents, samples)
     # characters that carry a word weigh more: a Han or Kana character counts as three letters
@@ -362,4 +364,4 @@ def language_cases(documents: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, lang): each language that has a run, of the documents whose label is missing or wrong or that hold a second language."""
     doc = document_languages(documents, samples).filter(F.col("lang").isNotNull())
     case = ~F.col("label_ok") | (F.size(F.array_remove(F.col("runs"), F.col("lang"))) > 0)
-    return doc.filter(case).select("doc_id", F.explode("runs").alias("lang"))
+    return doc.filter(case).select("doc_id", F.explode("runs").alias("lang")).distinct()

@@ -151,7 +151,7 @@ def equal_look_pairs(pages: DataFrame) -> DataFrame:
     left = members.join(variants.select("field", "look", "same"), ["field", "look", "same"], "left_semi")
     right = pairs.join(left.select("field", "look", F.col("same").alias("same_b"), F.col("rev_id").alias("rev_id_b")), ["field", "look", "same_b"])
     out = left.withColumnsRenamed({"rev_id": "rev_id_a", "same": "same_a"}).join(right, ["field", "look", "same_a"]).filter("rev_id_a < rev_id_b")
-    return out.select("rev_id_a", "rev_id_b", "field")
+    return out.select("rev_id_a", "rev_id_b", "field").distinct()
 
 
 def look_classes(pages: DataFrame) -> DataFrame:
