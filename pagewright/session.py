@@ -23,9 +23,11 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Bytes of the sources of a plan, by Catalyst's statistics; no job is run."""
+    """Bytes of the sources of a plan, by Catalyst's statistics; no job is run. Sources of unknown size (RDDs) count by their partitions."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)
+    return known if len(sizes) == sum(x < 1 << 60 for x in sizes) else known + df.rdd.getNumPartitions() * BYTES_PER_TASK
 
 
 def spread(df: DataFrame, *keys: str | Column, per_task: int = BYTES_PER_TASK, least: int | None = None) -> DataFrame:
