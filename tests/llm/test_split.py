@@ -24,7 +24,7 @@ def test_natural_boundaries():
     text = "\n\n".join(f"Paragraph {k} has a sentence. And another one." for k in range(40))
     kinds = {k for *_, k in check(text, 200, 20)}
     assert kinds <= {"paragraph", "end"}
-    assert all(text[b - 1] in " .。\n" for _, b, _ in check("One two three four. " * 50, 90, 10))
+    assert {k for *_, k in check("One two three four. " * 50, 90, 10)} == {"sentence", "end"}
 
 
 def test_code_is_cut_last():
