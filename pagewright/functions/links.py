@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 def wikilinks(body: Column) -> Column:
     """Distinct trimmed contents of [[...]] in order, alias included; code is not exempt."""
     found = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?s)\[\[(.*?)\]\]"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def relative(dest: str, source_dir: str) -> str:
