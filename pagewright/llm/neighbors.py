@@ -208,7 +208,7 @@ def usable(pages: DataFrame, width: int) -> DataFrame:
     return pages.select("rev_id", "embedding").filter(F.col("rev_id").isNotNull() & (F.size(e) == width) & finite & F.exists(e, lambda x: x != 0))
 
 
-def nearest(pages: DataFrame, k: int = 5, width: int = 64, wanted: int = 900) -> DataFrame:
+def nearest(pages: DataFrame, k: int = 5, width: int = 64, wanted: int = 2500) -> DataFrame:
     """(rev_id, other, sim, rank) of the k most similar rows of every usable row.
 
     wanted is how many entries a query looks at, by expected cell sizes: it is
