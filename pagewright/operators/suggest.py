@@ -25,18 +25,53 @@ def linked(pages: DataFrame) -> DataFrame:
     return pages.select("wiki", "slug", F.explode(F.array_distinct(every)).alias("other")).filter("other is not null")
 
 
+def _tagged(pages: DataFrame) -> DataFrame:
+    """(wiki, slug, tags, n): the tag set of each page that has one, and how many tags it gives."""
+    rows = pages.select("wiki", "slug", F.array_sort(F.array_distinct("tags")).alias("tags"), F.greatest(F.size("tags"), F.lit(1)).alias("n"))
+    return rows.filter(F.size("tags") > 0)
+
+
+def _set_pairs(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(wiki, tags, their_tags, n, shared): distinct tag sets that meet. Pages of a hot tag are pre-aggregated to their sets."""
+    a = mine.select("wiki", "tags").distinct().withColumn("tag", F.explode("tags"))
+    b = theirs.select("wiki", F.col("tags").alias("their_tags"), "n").distinct().withColumn("tag", F.explode("their_tags"))
+    return a.join(b, ["wiki", "tag"]).groupBy("wiki", "tags", "their_tags", "n").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def by_tags(pages: DataFrame, of: DataFrame) -> DataFrame:
     """Pages that share tags with the asked ones: shared tags over the tags of the candidate.
 
-    Tags are a bounded vocabulary with hot members; the asked pages are the
-    small side, and pairs are pre-aggregated map-side.
+    Pairs are counted once for two tag sets and then go to the pages of both.
     """
-    mine = of.select("wiki", "slug", F.explode(F.array_distinct("tags")).alias("tag"))
-    theirs = pages.select("wiki", F.col("slug").alias("other"), F.greatest(F.size("tags"), F.lit(1)).alias("n"), F.explode(F.array_distinct("tags")).alias("tag"))
-    pairs = mine.join(theirs, ["wiki", "tag"]).filter("slug != other").groupBy("wiki", "slug", "other").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
+    mine, theirs = _tagged(of).drop("n"), _tagged(pages)
+    others = theirs.select("wiki", F.col("slug").alias("other"), F.col("tags").alias("their_tags"), "n")
+    pairs = mine.join(_set_pairs(mine, theirs), ["wiki", "tags"]).join(others, ["wiki", "their_tags", "n"]).filter("slug != other")
     return pairs.select("wiki", "slug", "other", (F.col("shared") / F.col("n")).alias("score"), F.lit("shares tags").alias("reason"))
 
 
+def best_by_tags(pages: DataFrame, of: DataFrame, c: Config = Config()) -> DataFrame:
+    """The rows of by_tags() that merge() can keep: for each page as many of the best as its limit and its links together.
+
+    The best are ranked once for each tag set, so no pair of pages is made beyond them.
+    """
+    room = linked(of).groupBy("wiki", "slug").agg((F.count(F.lit(1)) + c.suggest.default_limit).alias("room"))
+    mine, theirs = _tagged(of).drop("n").join(room, ["wiki", "slug"]), _tagged(pages)
+    most = mine.groupBy("wiki", "tags").agg(F.max("room").alias("most"))
+    sizes = theirs.groupBy("wiki", F.col("tags").alias("their_tags"), "n").agg(F.count(F.lit(1)).alias("size"))
+    scored = _set_pairs(mine, theirs).withColumn("score", F.col("shared") / F.col("n")).filter(F.col("score") >= c.suggest.min_score).withColumn("s", X.round2(F.col("score")))
+    by_score = scored.join(sizes, ["wiki", "their_tags", "n"]).join(most, ["wiki", "tags"])
+    better = W.partitionBy("wiki", "tags").orderBy(F.desc("s"))
+    ahead = F.sum("size").over(better.rangeBetween(W.unboundedPreceding, W.currentRow)) - F.sum("size").over(W.partitionBy("wiki", "tags", "s"))
+    kept = by_score.withColumn("ahead", ahead).filter("ahead < most").drop("ahead", "size")
+    widest = most.groupBy("wiki").agg(F.max("most").alias("widest"))
+    first = F.row_number().over(W.partitionBy("wiki", "their_tags", "n").orderBy("other"))
+    others = theirs.select("wiki", F.col("slug").alias("other"), F.col("tags").alias("their_tags"), "n").withColumn("_r", first).join(widest, "wiki").filter("_r <= widest").drop("_r", "widest")
+    place = F.row_number().over(W.partitionBy("wiki", "tags").orderBy(F.desc("s"), "other"))
+    best = kept.join(others, ["wiki", "their_tags", "n"]).withColumn("_r", place).filter("_r <= most").select("wiki", "tags", "other", "score", "_r")
+    rows = mine.join(best, ["wiki", "tags"]).filter("_r <= room and slug != other")
+    return rows.select("wiki", "slug", "other", "score", F.lit("shares tags").alias("reason"))
+
+
 def by_two_hops(edges: DataFrame, of: DataFrame) -> DataFrame:
     """Nodes two steps away that are not one step away."""
     both = edges.select("wiki", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select("wiki", F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
@@ -55,12 +90,17 @@ def by_text(pages: DataFrame, title: str, summary: str, slug: str, wiki: str, c:
 
 
 def by_community(found: DataFrame, of: DataFrame, taken: DataFrame, limit: int = 2) -> DataFrame:
-    """The first pages by slug of the same community that are not taken yet."""
-    mine = of.select("wiki", "slug").join(found.filter("community is not null"), ["wiki", "slug"])
-    peers = mine.join(found.select("wiki", "community", F.col("slug").alias("other")), ["wiki", "community"]).filter("slug != other").select("wiki", "slug", "other")
-    free = peers.join(taken, ["wiki", "slug", "other"], "left_anti")
-    rank = F.row_number().over(W.partitionBy("wiki", "slug").orderBy("other"))
-    return free.withColumn("_r", rank).filter(F.col("_r") <= limit).select("wiki", "slug", "other", F.lit(0.4).alias("score"), F.lit("same knowledge cluster").alias("reason"))
+    """The first pages by slug of the same community that are not taken yet and share no tag, which makes them candidates already.
+
+    The members of a community are one sorted array, so no pair of its pages is made.
+    """
+    member = found.filter("community is not null").join(of.select("wiki", "slug", "tags"), ["wiki", "slug"], "left")
+    peers = member.groupBy("wiki", "community").agg(F.array_sort(F.collect_list(F.struct("slug", "tags"))).alias("peers"))
+    gone = taken.groupBy("wiki", "slug").agg(F.collect_set("other").alias("gone"))
+    mine = of.select("wiki", "slug", "tags").join(found.filter("community is not null"), ["wiki", "slug"]).join(gone, ["wiki", "slug"], "left").join(peers, ["wiki", "community"])
+    apart = F.filter("peers", lambda x: (x["slug"] != F.col("slug")) & ~F.coalesce(F.arrays_overlap(x["tags"], F.col("tags")), F.lit(False)))
+    free = F.array_except(F.transform(apart, lambda x: x["slug"]), F.coalesce("gone", F.array().cast("array<string>")))
+    return mine.select("wiki", "slug", F.explode(F.slice(free, 1, limit)).alias("other"), F.lit(0.4).alias("score"), F.lit("same knowledge cluster").alias("reason"))
 
 
 def merge(pages: DataFrame, parts: list[DataFrame], c: Config = Config()) -> DataFrame:

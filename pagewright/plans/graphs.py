@@ -10,7 +10,7 @@ from pagewright.operators import quality as Q
 from pagewright.operators import structure as T
 from pagewright.operators import suggest as U
 from pagewright.plans.common import AS_OF, EDGES, PAGES, pages
-from pagewright.session import table
+from pagewright.session import cut_lineage, table
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -123,7 +123,7 @@ def q_schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(p: DataFrame) -> DataFrame:
-    """Suggestions are asked for skill pages, a type of its own."""
+    """The skill pages, which the SQL of two queries asks for; the _all queries ask for every page."""
     return p.filter("type = 'skill'")
 
 
@@ -137,14 +137,24 @@ def q_suggest_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.by_two_hops(_graph(spark, sf_dir)[1], _asked(p)).drop("score")
 
 
+def q_suggest_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that share tags, of every page."""
+    p = pages(spark, sf_dir)
+    return U.by_tags(p, p).drop("reason")
+
+
+def q_suggest_2hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes two steps away, of every page."""
+    return U.by_two_hops(_graph(spark, sf_dir)[1], pages(spark, sf_dir)).drop("score")
+
+
 def q_suggest_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best suggestions of skill pages by tags, hops and community, with the field to record them in."""
+    """Best suggestions of every page by tags, hops and community, with the field to record them in."""
     p = pages(spark, sf_dir)
     nodes, edges = _graph(spark, sf_dir)
-    asked = _asked(p)
-    tags, hops = U.by_tags(p, asked), U.by_two_hops(edges, asked)
-    taken = U.linked(p).unionByName(tags.select("wiki", "slug", "other")).unionByName(hops.select("wiki", "slug", "other")).distinct()
-    peers = U.by_community(T.communities(nodes, edges), asked, taken)
+    tags, hops = U.best_by_tags(p, p), cut_lineage(U.by_two_hops(edges, p))
+    taken = U.linked(p).unionByName(hops.select("wiki", "slug", "other"))
+    peers = U.by_community(T.communities(nodes, edges), p, taken)
     return U.link_field(U.merge(p, [tags, hops, peers]), p, table(spark, sf_dir, "edge_decls"))
 
 
@@ -152,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q_graph_edges, q_graph_nodes, q_relation_hist, q_graph_metrics, q_top_hubs, q_graph_merged, q_subgraph_bfs, q_components, q_cut_structure, q_eccentricity, q_diameter, q_louvain, q_community_stats,
-        q_lint_orphan, q_lint_broken, q_lint_cross, q_lint_missing_fields, q_lint_stale, q_lint_unknown_type, q_lint, q_edge_targets, q_staleness, q_stats, q_schema_validate, q_suggest_tags, q_suggest_2hop, q_suggest_merged,
+        q_lint_orphan, q_lint_broken, q_lint_cross, q_lint_missing_fields, q_lint_stale, q_lint_unknown_type, q_lint, q_edge_targets, q_staleness, q_stats, q_schema_validate, q_suggest_tags, q_suggest_2hop, q_suggest_tags_all, q_suggest_2hop_all, q_suggest_merged,
     )
 }
 
