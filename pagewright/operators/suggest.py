@@ -6,12 +6,16 @@ suggestions costs a few joins and not a search a page.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pagewright.config import LINK_FIELDS, SOURCE_TYPES, Config, Search
 from pagewright.functions import text as X
+from pagewright.operators import index as I
 from pagewright.operators import search as S
 
 OUT = ["wiki", "slug", "other", "score", "reason"]
@@ -89,6 +93,77 @@ def by_text(pages: DataFrame, title: str, summary: str, slug: str, wiki: str, c:
     return rows.select("wiki", F.lit(slug).alias("slug"), F.col("slug").alias("other"), (F.col("score") / F.col("_best") * 0.7).alias("score"), F.lit("similar content").alias("reason"))
 
 
+TEXT = "wiki string, slug string, other string, score double"
+
+
+def _best_of_block(k: int, c: Search):
+    """The best k documents of a block for each query of a block, by BM25 times the multiplier, ties to the smaller slug."""
+
+    def run(asked: pa.Table, docs: pa.Table) -> pa.Table:
+        if not asked.num_rows or not docs.num_rows:
+            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.string()) for n in ("wiki", "slug", "other", "score")})
+        asked, docs = asked.combine_chunks(), docs.sort_by("slug").combine_chunks()
+        terms = [pa.chunked_array([x]) if not isinstance(x, pa.ChunkedArray) else x for x in (pc.list_flatten(asked["terms"]), pc.list_flatten(docs["terms"]))]
+        code = pa.concat_arrays([x.cast(pa.string()) for t in terms for x in t.chunks]).dictionary_encode().indices.to_numpy()
+        of_query, of_doc = code[: len(terms[0])], code[len(terms[0]) :]
+        at = np.repeat(np.arange(docs.num_rows), pc.list_value_length(docs["terms"]).to_numpy())
+        tf, norm = pc.list_flatten(docs["tfs"]).to_numpy().astype(np.float64), docs["norm"].to_numpy()
+        value = tf * (c.k1 + 1) / (tf + norm[at])
+        order = np.argsort(of_doc, kind="stable")
+        at, value = at[order], value[order]
+        lo, hi = np.searchsorted(of_doc[order], of_query), np.searchsorted(of_doc[order], of_query, side="right")
+        weight, ends = pc.list_flatten(asked["weights"]).to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(asked["terms"]).to_numpy())))
+        factor, n = docs["factor"].to_numpy(), docs.num_rows
+        who, what, scores = [], [], []
+        for q in range(asked.num_rows):
+            spans = [(lo[j], hi[j], weight[j]) for j in range(ends[q], ends[q + 1]) if lo[j] < hi[j]]
+            if not spans:
+                continue
+            # terms come in one order, so equal documents of different blocks get equal sums
+            total = np.bincount(np.concatenate([at[a:b] for a, b, _ in spans]), np.concatenate([value[a:b] * w for a, b, w in spans]), minlength=n)
+            hit = np.flatnonzero(total > 0)
+            score = total[hit] * factor[hit]
+            if len(hit) > k:
+                some = np.flatnonzero(score >= np.partition(score, len(hit) - k)[len(hit) - k])
+                hit, score = hit[some], score[some]
+            best = np.argsort(-score, kind="stable")[:k]
+            who.append(np.full(len(best), q))
+            what.append(hit[best])
+            scores.append(score[best])
+        if not who:
+            return run(asked.slice(0, 0), docs)
+        q, d = pa.array(np.concatenate(who)), pa.array(np.concatenate(what))
+        return pa.table({"wiki": asked["wiki"].take(q), "slug": asked["slug"].take(q), "other": docs["slug"].take(d), "score": pa.array(np.concatenate(scores))})
+
+    return run
+
+
+def by_texts(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int = 10, block: int = 4096) -> DataFrame:
+    """by_text() of all asked pages at once: each wiki is a grid of query blocks and document blocks, and every pair is scored.
+
+    Statistics are those of the whole wiki. Only the best k of a page leave a block.
+    """
+    bag = I.postings(pages)
+    stats = I.corpus_stats(pages, per_wiki=True).select("wiki", F.col("n").alias("n_docs"), F.col("avg_len"), F.ceil(F.col("n") / block).cast("int").alias("grid"))
+    part = F.pmod(F.xxhash64("slug"), F.col("grid")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("grid") - 1))
+    sized = S.candidates(pages).select("wiki", "slug", X.bag_length().alias("len"), S.multiplier(c).alias("factor")).join(stats, "wiki")
+    norm = c.k1 * (1 - c.b + c.b * F.col("len") / F.col("avg_len"))
+    held = bag.groupBy("wiki", "slug").agg(F.collect_list(F.struct("term", "tf")).alias("x")).select("wiki", "slug", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))
+    docs = sized.join(held, ["wiki", "slug"]).select("wiki", every.alias("q_block"), part.alias("d_block"), "slug", "factor", norm.alias("norm"), "terms", "tfs")
+    words = of.select("wiki", "slug", F.explode(F.concat(X.tokens(F.col("title")), X.tokens(F.col("summary")))).alias("term")).groupBy("wiki", "slug", "term").agg(F.count(F.lit(1)).alias("times"))
+    weighed = words.join(I.term_stats(bag, per_wiki=True), ["wiki", "term"]).join(stats, "wiki").withColumn("weight", F.col("times") * S._idf(F.col("n_docs"), F.col("df")))
+    sought = weighed.groupBy("wiki", "slug", "grid").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("x"))
+    # aliases, as both sides of the cogroup may come from the same pages
+    asked = sought.select(F.col("wiki").alias("wiki"), part.alias("q_block"), every.alias("d_block"), F.col("slug").alias("slug"), F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
+    keys = ["wiki", "q_block", "d_block"]
+    found = asked.groupBy(*keys).cogroup(docs.groupBy(*keys)).applyInArrow(_best_of_block(k, c), TEXT)
+    rank = F.row_number().over(W.partitionBy("wiki", "slug").orderBy(F.desc("score"), "other"))
+    hits = found.withColumn("_r", rank).filter(F.col("_r") <= k).withColumn("score", X.round2(F.col("score")))
+    best = F.greatest(F.max("score").over(W.partitionBy("wiki", "slug")), F.lit(0.001))
+    return hits.withColumn("_best", best).filter("slug != other").select("wiki", "slug", "other", (F.col("score") / F.col("_best") * 0.7).alias("score"), F.lit("similar content").alias("reason"))
+
+
 def by_community(found: DataFrame, of: DataFrame, taken: DataFrame, limit: int = 2) -> DataFrame:
     """The first pages by slug of the same community that are not taken yet and share no tag, which makes them candidates already.
 

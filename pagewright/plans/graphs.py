@@ -148,21 +148,31 @@ def q_suggest_2hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.by_two_hops(_graph(spark, sf_dir)[1], pages(spark, sf_dir)).drop("score")
 
 
-def q_suggest_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best suggestions of every page by tags, hops and community, with the field to record them in."""
+def q_suggest_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with content like the title and summary, of every page."""
     p = pages(spark, sf_dir)
-    nodes, edges = _graph(spark, sf_dir)
+    return U.by_texts(p, p).drop("reason")
+
+
+def q_suggest_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best suggestions of every page by tags, hops, text and community, with the field to record them in."""
+    texts = cut_lineage(U.by_texts(pages(spark, sf_dir), pages(spark, sf_dir)))
+    # the other strategies need no text; they read the pages and the graph many times
+    p = cut_lineage(pages(spark, sf_dir).drop("body", "embedding"))
+    decls = table(spark, sf_dir, "edge_decls")
+    nodes, edges = G.build(p, decls)
+    edges = cut_lineage(edges)
     tags, hops = U.best_by_tags(p, p), cut_lineage(U.by_two_hops(edges, p))
-    taken = U.linked(p).unionByName(hops.select("wiki", "slug", "other"))
+    taken = U.linked(p).unionByName(hops.select("wiki", "slug", "other")).unionByName(texts.select("wiki", "slug", "other"))
     peers = U.by_community(T.communities(nodes, edges), p, taken)
-    return U.link_field(U.merge(p, [tags, hops, peers]), p, table(spark, sf_dir, "edge_decls"))
+    return U.link_field(U.merge(p, [tags, hops, texts, peers]), p, decls)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         q_graph_edges, q_graph_nodes, q_relation_hist, q_graph_metrics, q_top_hubs, q_graph_merged, q_subgraph_bfs, q_components, q_cut_structure, q_eccentricity, q_diameter, q_louvain, q_community_stats,
-        q_lint_orphan, q_lint_broken, q_lint_cross, q_lint_missing_fields, q_lint_stale, q_lint_unknown_type, q_lint, q_edge_targets, q_staleness, q_stats, q_schema_validate, q_suggest_tags, q_suggest_2hop, q_suggest_tags_all, q_suggest_2hop_all, q_suggest_merged,
+        q_lint_orphan, q_lint_broken, q_lint_cross, q_lint_missing_fields, q_lint_stale, q_lint_unknown_type, q_lint, q_edge_targets, q_staleness, q_stats, q_schema_validate, q_suggest_tags, q_suggest_2hop, q_suggest_tags_all, q_suggest_2hop_all, q_suggest_bm25, q_suggest_merged,
     )
 }
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from pagewright.config import LINK_FIELDS
 from pagewright.operators import suggest as U
 from pagewright.plans import graphs as P
@@ -57,3 +59,18 @@ def test_every_type_gets_suggestions(spark, data):
     for name in ("q_suggest_tags_all", "q_suggest_2hop_all", "q_suggest_merged"):
         asked = {tuple(r) for r in P.QUERIES[name](spark, data).select("wiki", "slug").distinct().collect()}
         assert len({t for w, s, t in types if (w, s) in asked}) > 10, name
+
+
+def test_text_of_every_page(spark):
+    p = small(spark, n=24).withColumn("uri", F.lit(""))
+    for block in (4096, 7):
+        got = {}
+        for r in U.by_texts(p, p, block=block).collect():
+            got.setdefault((r.wiki, r.slug), {})[r.other] = round(r.score, 9)
+        assert len(got) == 48
+        for x in p.filter("slug in ('p00', 'p05', 'p10') and wiki = 'w'").collect():
+            assert got[x.wiki, x.slug] == {r.other: round(r.score, 9) for r in U.by_text(p, x.title, x.summary or "", x.slug, x.wiki).collect()}
+
+
+def test_merge_holds_similar_content(spark, data):
+    assert P.q_suggest_merged(spark, data).filter("reason = 'similar content'").count() > 0
