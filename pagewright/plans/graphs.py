@@ -103,7 +103,9 @@ def q_lint_unknown_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules, the structural ones included."""
     p = pages(spark, sf_dir)
-    return Q.lint(p, table(spark, sf_dir, "page_types"), AS_OF, structure=Q.structural(T.cut_structure(*_graph(spark, sf_dir))))
+    nodes, edges = _graph(spark, sf_dir)
+    structure = Q.structural(T.cut_structure(nodes, edges)).unionByName(Q.periphery(T.eccentricities(nodes, edges)))
+    return Q.lint(p, table(spark, sf_dir, "page_types"), AS_OF, structure=structure)
 
 
 def q_edge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
