@@ -164,10 +164,10 @@ def html_escape(s: Column) -> Column:
     return s
 
 
-def embed_text(limit: int = 4000) -> Column:
+def embed_text(limit: int | Column = 4000) -> Column:
     """Title, summary and body on lines of their own, cut to a number of code points."""
     parts = [F.coalesce("title", F.lit(""))] + [F.when(F.col(c) != "", F.col(c)) for c in ("summary", "body")]
-    return F.substring(F.concat_ws("\n", *parts), 1, limit)
+    return F.substring(F.concat_ws("\n", *parts), F.lit(1), F.lit(limit))
 
 
 # Secrets looked for at ingest, in this order.

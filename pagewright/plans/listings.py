@@ -135,6 +135,14 @@ def q_embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "corpus_pages").select("rev_id", F.md5(X.embed_text(300).cast("binary")).alias("digest"))
 
 
+def q_embed_text_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding text under the limit of its wiki: max_text_chars, or 4000 where that is missing or not positive."""
+    most = table(spark, sf_dir, "embed_config").groupBy("wiki").agg(F.max("max_text_chars").alias("_most"))
+    rows = table(spark, sf_dir, "corpus_pages").join(most, "wiki", "left")
+    limit = F.when(F.col("_most") > 0, F.col("_most")).otherwise(4000)
+    return rows.select("rev_id", F.md5(X.embed_text(limit).cast("binary")).alias("digest"))
+
+
 def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret patterns over all bodies: one row a line and pattern."""
     p = table(spark, sf_dir, "corpus_pages").filter("body is not null").select("rev_id", "body")
@@ -150,7 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q_current_pages, q_list_page, q_recent, q_backlinks, q_with_field, q_export_order, q_export_lines, q_export_full, q_export_json, q_history, q_activity, q_incremental_merge, q_last_changes, q_page_counts, q_debounce_sessions,
-        q_links, q_body_links, q_link_classes, q_title_case, q_heading_title, q_slug_valid, q_slug_of_path, q_uri_parse, q_confidence_norm, q_embed_text, q_secrets, q_html_escape,
+        q_links, q_body_links, q_link_classes, q_title_case, q_heading_title, q_slug_valid, q_slug_of_path, q_uri_parse, q_confidence_norm, q_embed_text, q_embed_text_effective, q_secrets, q_html_escape,
     )
 }
 
@@ -194,6 +202,8 @@ select wiki, min(changed_at) as opened_at, array_to_string(list_sort(list(distin
     "q_uri_parse": "select entry, case when entry similar to 'wiki://[^/]+/.+' then regexp_extract(entry, '^wiki://([^/]+)/', 1) else 'handbook' end as wiki, case when entry similar to 'wiki://[^/]+/.+' then regexp_replace(entry, '^wiki://[^/]+/', '') else entry end as slug from (select distinct unnest(fields['sources']) as entry from corpus_pages)",
     "q_confidence_norm": "select rev_id, case when rev_id % 5 = 0 then [0.9, 0.5, 0.2, null, 1.0, 0.0, null][rev_id % 7 + 1] when confidence is not null then least(greatest(confidence, 0.0), 1.0) end as confidence from corpus_pages",
     "q_embed_text": "select rev_id, md5(left(concat_ws(chr(10), coalesce(title, ''), nullif(summary, ''), nullif(body, '')), 300)) as digest from corpus_pages",
+    "q_embed_text_effective": """select rev_id, md5(left(concat_ws(chr(10), coalesce(title, ''), nullif(summary, ''), nullif(body, '')), case when m > 0 then m else 4000 end)) as digest
+from corpus_pages left join (select wiki, max(max_text_chars) as m from embed_config group by wiki) using (wiki)""",
     "q_secrets": "select rev_id, p.name as pattern_name, n as line_number from (select rev_id, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as n from corpus_pages where body is not null) l join (values "
     + ", ".join(f"('{a}', '{b}')" for a, b in _SECRET) + ") as p(name, re) on regexp_matches(l.line, p.re)",
     "q_html_escape": """select rev_id, md5(replace(replace(replace(replace(replace(coalesce(body, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&#39;'), '"', '&#34;')) as digest from corpus_pages""",
