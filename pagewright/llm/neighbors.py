@@ -5,9 +5,10 @@ a cell is a pair of centroids. A query walks the pairs in the order of summed
 distance with a heap until the cells it has met should hold enough entries, and
 the entries of those cells are reranked by exact cosine.
 
-Equal vectors are one entry: a class keeps its smallest k + 1 row ids, and every
-row of the class gets its list from those, so copies cost nothing and ties are
-kept whole. Blocks of the index (all cells of one first-half centroid) are split
+Vectors of equal direction are one entry: a class keeps its smallest k + 1 row
+ids, and every row of the class gets its list from those, so copies cost nothing.
+The float32 products only choose what is reranked, with a margin above their
+error, so ties are kept whole also where scales leave directions a little apart. Blocks of the index (all cells of one first-half centroid) are split
 into chunks when they hold many entries, and their queries into as many salts,
 so a hot region becomes a grid of tasks of bounded size.
 
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -168,8 +169,18 @@ def _reranker(k: int, width: int):
         who, what = np.repeat(np.arange(len(query)), [len(x) for x in lists]), np.concatenate(lists)
         order = np.argsort(what, kind="stable")
         who, what = who[order], what[order]
+
+        def best(q: np.ndarray, e: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            s = np.round(s, 9)
+            order = np.lexsort((ids[e], -s, q))
+            q, e, s = q[order], e[order], s[order]
+            start = np.concatenate(([True], q[1:] != q[:-1]))
+            rank = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
+            return q[rank < k], e[rank < k], s[rank < k]
+
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        most = k + 12
+        # twice the error that a float32 product of two unit vectors can have, and the rounding of similarities
+        margin = 2 * (width + 4) * 2.0**-24 + 1e-9
         for cell in np.unique(what):
             lo, hi = np.searchsorted(entry_cell, (cell, cell + 1))
             if lo == hi:
@@ -182,21 +193,18 @@ def _reranker(k: int, width: int):
                     es = e[low : low + 8192]
                     s = f[q] @ f[es].T
                     s[ids[q][:, None] == ids[es][None, :]] = -9
-                    m = min(most, len(es))
-                    top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(es) else np.broadcast_to(np.arange(m), (len(q), m))
-                    exact = np.einsum("qd,qmd->qm", u[q], u[es[top]])
-                    keep = ids[es[top]] != ids[q][:, None]
-                    parts.append((np.repeat(q, m)[keep.ravel()], es[top].ravel()[keep.ravel()], exact.ravel()[keep.ravel()]))
+                    least = np.partition(s, len(es) - k, axis=1)[:, len(es) - k, None] - margin if k < len(es) else -2.0
+                    near = (s >= least) & (s > -9)
+                    # many entries tie about a hot direction: then fewer queries at a time
+                    step = len(q) if np.count_nonzero(near) <= 1 << 18 else max(1, (1 << 18) // len(es))
+                    for first in range(0, len(q), step):
+                        r, c = np.nonzero(near[first : first + step])
+                        if len(r):
+                            parts.append(best(q[first + r], es[c], np.einsum("nd,nd->n", u[q[first + r]], u[es[c]])))
         if not parts:
             return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        q, e, s = (np.concatenate(x) for x in zip(*parts))
-        s = np.round(s, 9)
-        order = np.lexsort((ids[e], -s, q))
-        q, e, s = q[order], e[order], s[order]
-        start = np.concatenate(([True], q[1:] != q[:-1]))
-        rank = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
-        keep = rank < k
-        return pa.table({"id": ids[q[keep]], "other": ids[e[keep]], "sim": s[keep]})
+        q, e, s = best(*(np.concatenate(x) for x in zip(*parts)))
+        return pa.table({"id": ids[q], "other": ids[e], "sim": s})
 
     return run
 
@@ -208,6 +216,12 @@ def usable(pages: DataFrame, width: int) -> DataFrame:
     return pages.select("rev_id", "embedding").filter(F.col("rev_id").isNotNull() & (F.size(e) == width) & finite & F.exists(e, lambda x: x != 0))
 
 
+def _direction(v: Column) -> Column:
+    """The unit vector in double as whole multiples of 1e-12, equal for one direction at any scale that float32 holds exactly."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: F.rint(x.cast("double") / norm * 1e12).cast("long"))
+
+
 def nearest(pages: DataFrame, k: int = 5, width: int = 64, wanted: int = 2500) -> DataFrame:
     """(rev_id, other, sim, rank) of the k most similar rows of every usable row.
 
@@ -216,9 +230,10 @@ def nearest(pages: DataFrame, k: int = 5, width: int = 64, wanted: int = 2500) -
     """
     spark = pages.sparkSession
     rows = usable(pages, width)
-    # equal vectors become one class, known by two hashes of the vector; the window keeps k + 1 ids
+    # equal directions become one class, known by two hashes of the unit vector; the window keeps k + 1 ids
     # of each, and is limited before the shuffle, so that a hot class sends a few rows from each task
-    keyed = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(17), F.col("embedding"))})
+    turned = rows.withColumn("_u", _direction(F.col("embedding")))
+    keyed = turned.withColumns({"h1": F.xxhash64("_u"), "h2": F.xxhash64(F.lit(17), F.col("_u"))}).drop("_u")
     ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("h1", "h2").orderBy("rev_id"))).filter(F.col("r") <= k + 1)
     classes = ranked.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("rev_id")).alias("ids"), F.min_by("embedding", "rev_id").alias("embedding"))
     # four later steps read the classes: they are written once into the shared folder

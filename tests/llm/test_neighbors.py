@@ -40,3 +40,17 @@ def test_walk_is_in_order():
     cells = N.walk(da, db, np.ones((7, 9)).tolist(), 1e9)
     sums = [da[i] + db[j] for i, j in cells]
     assert len(set(cells)) == 63 and sums == sorted(sums)
+
+
+def test_ties_of_one_direction_at_many_scales(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 64)).astype(np.float32)
+    x[60:160] = x[3] * rng.uniform(0.01, 100, size=(100, 1)).astype(np.float32)
+    x[170] = 4 * x[171]
+    near = {}
+    for r in N.nearest(frame(spark, x)).collect():
+        near.setdefault(r.rev_id, []).append((r["rank"], r.other))
+    u = N.unit(x)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -9)
+    assert {k: [o for _, o in sorted(v)] for k, v in near.items()} == {k: np.lexsort((np.arange(200), -s[k]))[:5].tolist() for k in range(200)}
