@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record for each match, with the pseudonym that links equal values."""
+    """One record for each match, with its pseudonym and the link that equal values share."""
     return _personal(spark, sf_dir)
 
 

@@ -3,8 +3,9 @@
 Every match becomes the placeholder of its type; the rest of the text stays as
 it is. The record of a match carries a pseudonym made by a format-preserving
 Feistel permutation: digits stay digits, letters letters, dates dates, and equal
-values get equal pseudonyms in every document, whatever their separators. The
-key is a parameter; without it the values cannot be recovered.
+values get equal links in every document, whatever their separators: the link is
+the pseudonym of the canonical value, while the pseudonym keeps the format found.
+The key is a parameter; without it the values cannot be recovered.
 
 Detection works on a look-alike-free copy of the text that keeps its places
 (full-width forms, kinds of space and hyphen, Greek or Cyrillic letters inside
@@ -430,6 +431,43 @@ def find(text: str | None, patterns: tuple[str, ...] = tuple(FINDERS)) -> list[t
     return out
 
 
+_MARKER = re.compile(rf"(?i){_AT}|[ \t]*[\[({{<][ \t]*(?:dot|\.|punkt|punto|point|точка)[ \t]*[\])}}>][ \t]*|(?<=\w) (?:at|\(at\)|\[at\]|dot) (?=\w)")
+_AT_MARKER = re.compile(r"(?i)[\[({< \t]*(?:at|@|arroba|ät|собака)[\])}> \t]*")
+_EXTENSION_WORD = re.compile(r"[ ,]{0,2}(?:ext|x|Durchwahl|poste|ramal|доб|转|分机)\.? ?(?=\d{1,6}$)", re.A)
+
+
+def canonical(value: str, pattern: str) -> str:
+    """One form of a value, whatever its separators: e-mail markers as @ and dot, numbers without separators, names in the order Given Surname."""
+    v = unicodedata.normalize("NFKC", value)
+    if pattern == "email":
+        return _MARKER.sub(lambda m: "@" if _AT_MARKER.fullmatch(m[0]) else ".", v).lower()
+    if pattern == "phone":
+        number, _, extension = _EXTENSION_WORD.sub(";", v, count=1).partition(";")
+        number = re.sub(r"\D", "", re.sub(r"^\(?00(?=[1-9])", "+", number).replace("(0)", "")) if number.lstrip("( ").startswith(("+", "00")) else re.sub(r"\D", "", number)
+        return ("+" if v.lstrip("( ").startswith(("+", "00")) else "") + number + (";" + extension if extension else "")
+    if pattern == "id-number":
+        return re.sub(r"[\W_]", "", v).upper()
+    if pattern == "person-name" and "," in v:
+        surname, _, given = v.partition(",")
+        v = f"{given} {surname}"
+    return " ".join(re.sub(r"[^\w'’\-]+", " ", v).lower().split())
+
+
+def link(value: str, pattern: str, key: str = DEFAULT_KEY) -> str:
+    """The pseudonym of the canonical value: equal for equal values."""
+    return pseudonym(canonical(value, pattern), pattern, key)
+
+
+def formatted(value: str, pattern: str, key: str = DEFAULT_KEY) -> str:
+    """The pseudonym in the format of the value; words that are no part of it, such as [at] or ext., stay."""
+    words = {"email": _MARKER, "phone": _EXTENSION_WORD}.get(pattern)
+    kept = words.findall(value) if words else []
+    if not kept:
+        return pseudonym(value, pattern, key)
+    parts = pseudonym(words.sub("\ue000", value), pattern, key).split("\ue000")
+    return "".join(x for pair in zip(parts, [*kept, ""]) for x in pair)
+
+
 _LINE_END = re.compile(r"\r\n|\r|\n")
 
 
@@ -438,7 +476,7 @@ def matches(text: str | None, patterns: tuple[str, ...], key: str) -> list[dict]
     if not spans:
         return []
     ends = [m.end() for m in _LINE_END.finditer(text)]
-    return [{"line_number": bisect_right(ends, a) + 1, "pattern_name": name, "pseudonym": pseudonym(value, name, key)} for a, _, name, value in spans]
+    return [{"line_number": bisect_right(ends, a) + 1, "pattern_name": name, "pseudonym": formatted(value, name, key), "link": link(value, name, key)} for a, _, name, value in spans]
 
 
 def redact(text: str | None, placeholders: dict[str, str]) -> str | None:
@@ -453,7 +491,7 @@ def redact(text: str | None, placeholders: dict[str, str]) -> str | None:
     return "".join(parts) + text[at:]
 
 
-MATCHES = T.ArrayType(T.StructType([T.StructField("line_number", T.IntegerType()), T.StructField("pattern_name", T.StringType()), T.StructField("pseudonym", T.StringType())]))
+MATCHES = T.ArrayType(T.StructType([T.StructField("line_number", T.IntegerType()), T.StructField("pattern_name", T.StringType()), T.StructField("pseudonym", T.StringType()), T.StructField("link", T.StringType())]))
 
 
 def _types(redact_types: DataFrame, bound: int = 1000) -> dict[str, str]:
@@ -465,7 +503,7 @@ def _types(redact_types: DataFrame, bound: int = 1000) -> dict[str, str]:
 
 
 def find_personal_data(pages: DataFrame, redact_types: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """(rev_id, line_number, pattern_name, pseudonym): one row for each match of each body."""
+    """(rev_id, line_number, pattern_name, pseudonym, link): one row for each match of each body."""
     patterns = tuple(_types(redact_types))
 
     @F.pandas_udf(MATCHES)

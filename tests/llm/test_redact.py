@@ -74,3 +74,21 @@ def test_operator(spark):
     assert [(r.rev_id, r.line_number, r.pattern_name) for r in R.find_personal_data(pages, types).collect()] == [(1, 1, "email")] * 2
     assert {(r.rev_id, r.body) for r in R.redact_bodies(pages, types).collect()} == {(1, "[E] and [E]\nx"), (2, None), (3, ""), (4, "plain")}
     assert R.find_personal_data(pages.limit(0), types.limit(0)).count() == 0
+
+
+def test_links_do_not_depend_on_the_format():
+    for name, same in {
+        "email": ["a.b@lab.org", "A.B@lab.org", "a.b [at] lab [dot] org", "a.b (at) lab.org", "a.b at lab dot org", "a.b{at}lab[.]org"],
+        "phone": ["+1 (617) 555-0194", "+1.617.555.0194", "001 617 555 0194"],
+        "id-number": ["954-02-9737", "954 02 9737", "954029737"],
+        "person-name": ["Greta Oskelhollow", "Oskelhollow, Greta", "Greta  OSKELHOLLOW"],
+        "street-address": ["6 Larkmoor Street, Easthallow", "6 Larkmoor Street,  Easthallow"],
+    }.items():
+        assert len({R.link(v, name, "k") for v in same}) == 1, name
+        assert R.link(same[0], name, "k") not in (R.link(same[0] + "7", name, "k"), R.canonical(same[0], name))
+    assert R.canonical("a.b at lab dot org", "email") == "a.b@lab.org" and R.canonical("dot.at@at.dot", "email") == "dot.at@at.dot"
+    assert R.canonical("+33 (0)1 99 00 65 55", "phone") == "+33199006555" and R.canonical("555-0192 ext. 688", "phone") == "5550192;688"
+    found = R.matches("x a.b [at] lab [dot] org\ny a.b@lab.org\nz 555-0192 ext. 688", tuple(R.FINDERS), "k")
+    assert [m["pattern_name"] for m in found] == ["email", "email", "phone"] and found[0]["link"] == found[1]["link"]
+    assert " [at] " in found[0]["pseudonym"] and " [dot] " in found[0]["pseudonym"] and " ext. " in found[2]["pseudonym"]
+    assert found[0]["pseudonym"].replace(" [at] ", "@").replace(" [dot] ", ".") == found[1]["pseudonym"]
