@@ -54,3 +54,16 @@ def test_ties_of_one_direction_at_many_scales(spark):
     s = np.round(u @ u.T, 9)
     np.fill_diagonal(s, -9)
     assert {k: [o for _, o in sorted(v)] for k, v in near.items()} == {k: np.lexsort((np.arange(200), -s[k]))[:5].tolist() for k in range(200)}
+
+
+def test_recall_where_cells_are_skipped(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(40, 64))
+    x = (centre[rng.integers(0, 40, 1500)] + 0.5 * rng.normal(size=(1500, 64))).astype(np.float32)
+    index = N.fit(N.unit(x).astype(np.float32), 1500)
+    cells = N.walk(*(((h - c) ** 2).sum(1) for h, c in ((N.unit(x)[0, :32], index.first), (N.unit(x)[0, 32:], index.second))), index.expected.tolist(), 100)
+    assert len(cells) < index.expected.size / 2
+    got = {(min(r.rev_id, r.other), max(r.rev_id, r.other)) for r in N.nearest(frame(spark, x), wanted=100).collect()}
+    want = N.brute_force(np.arange(1500), x)
+    print("recall", len(got & want) / len(want))
+    assert 0.5 <= len(got & want) / len(want) < 1
