@@ -1,12 +1,16 @@
 """References to records that do not exist: orphan search with compressed bitmaps.
 
-Keys of pages become integers: a key range (a hash bucket of the key) and an
-ordinal within it. For every range, period and kind of reference one bitmap
-holds the referenced ordinals, and one the ordinals that are surely good parents
-for that kind and period. reference AND-NOT parent leaves the suspects, which
-are decoded to keys and joined back to their references; an exact comparison
-then gives the reason. Bitmaps are stored as in roaring containers: a sorted
-uint16 list while sparse, 8 KB of bits when dense.
+Keys of pages and of references become integers: a key range (a hash bucket of
+the key) and an ordinal in the dictionary of the range. Pages alone give the
+parent bitmaps of a range: one for each month in which pages first came, one
+for each page type, one of the deleted. References, counted once for each
+(key, month, row type, field), give a bitmap for each kind. reference AND-NOT
+parent leaves the suspects, which are decoded to keys and only then meet their
+rows; an exact comparison gives the reason. Bitmaps are stored as in roaring
+containers: a sorted uint16 list while sparse, 8 KB of bits when dense.
+
+The page table is read once. A popular key reaches its range only once for each
+kind; rows of hot keys are split over salts in the last join.
 
 Defined results: null entries, and entries whose slug is empty after
 normalising, refer to nothing and give no row. Repeated equal entries of a row
@@ -18,13 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from pagewright.session import estimated_bytes, parallelism, salted_join
+from pagewright.session import cut_lineage, estimated_bytes, parallelism, salted_join
 
 FIELD_KEYS = ("sources", "concepts", "document_refs", "superseded_by")
 CONTAINER = 1 << 16
@@ -61,14 +64,33 @@ def and_not(left: bytes, right: bytes) -> np.ndarray:
     return a[b[at] != a]
 
 
-@F.pandas_udf(T.BinaryType())
-def pack_udf(ordinals: pd.Series) -> pd.Series:
-    return ordinals.map(lambda x: pack_container(np.sort(np.asarray(x, np.int64))))
+class Bitmap:
+    """Set of ordinals of one key range: a packed container for each 65,536 of them."""
 
+    def __init__(self, parts: dict[int, bytes]):
+        self.parts = parts
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def and_not_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([and_not(a, b).astype(np.int32) for a, b in zip(left, right)])
+    @classmethod
+    def of(cls, ordinals: np.ndarray) -> Bitmap:
+        """Bitmap of any ordinals, repeats included."""
+        bits = np.unique(ordinals)
+        cuts = np.flatnonzero(np.diff(bits // CONTAINER)) + 1
+        return cls({int(part[0]) // CONTAINER: pack_container(part % CONTAINER) for part in np.split(bits, cuts) if len(part)})
+
+    def __or__(self, other: Bitmap) -> Bitmap:
+        out = dict(self.parts)
+        for k, data in other.parts.items():
+            out[k] = pack_container(np.union1d(unpack_container(out[k]), unpack_container(data))) if k in out else data
+        return Bitmap(out)
+
+    def minus(self, other: Bitmap) -> Bitmap:
+        """self AND-NOT other."""
+        left = {k: and_not(data, other.parts[k]) if k in other.parts else None for k, data in self.parts.items()}
+        return Bitmap({k: self.parts[k] if bits is None else pack_container(bits) for k, bits in left.items() if bits is None or len(bits)})
+
+    def ordinals(self) -> np.ndarray:
+        """Decoded bits in order."""
+        return np.concatenate([unpack_container(d) + k * CONTAINER for k, d in sorted(self.parts.items())] or [np.zeros(0, np.int64)])
 
 
 def entry_key(entry: Column, own_wiki: Column) -> Column:
@@ -86,17 +108,18 @@ def entry_key(entry: Column, own_wiki: Column) -> Column:
     return F.when(slug.isNotNull() & (slug != ""), F.concat(wiki, F.lit("\0"), slug))
 
 
-def reference_rows(pages: DataFrame) -> DataFrame:
-    """One row per distinct (rev_id, field, target): exploded body_links and the reference keys of fields, with the key they name."""
+def page_rows(pages: DataFrame) -> DataFrame:
+    """The page table without its texts, read once and kept: one row for each page record (field null), and one for each distinct (rev_id, field, target) of its body_links and reference fields, with the key it names."""
     base = ["rev_id", "wiki", "type", "indexed_at"]
     empty = F.array().cast("array<string>")
     values = {"body_links": F.col("body_links")} | {name: F.try_element_at(F.col("fields"), F.lit(name)) for name in FIELD_KEYS}
     tagged = lambda name: lambda x: F.struct(F.lit(name).alias("field"), x.alias("target"))
     entries = [F.transform(F.coalesce(v, empty), tagged(name)) for name, v in values.items()]
-    rows = pages.select(*base, F.explode(F.array_distinct(F.concat(*entries))).alias("e")).select(*base, "e.field", "e.target")
-    own = F.when(F.col("field") != "body_links", F.col("wiki"))
-    rows = rows.filter(F.col("target").isNotNull()).withColumn("key", entry_key(F.col("target"), own))
-    return rows.filter(F.col("key").isNotNull()).select(*base, "field", "target", "key", period(F.col("indexed_at")).alias("period"))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.col("slug").alias("target")))
+    rows = pages.select(*base, F.explode(F.concat(own, F.array_distinct(F.concat(*entries)))).alias("e")).select(*base, "e.field", "e.target")
+    key = entry_key(F.col("target"), F.when(F.col("field") != "body_links", F.col("wiki")))
+    rows = rows.filter(F.col("target").isNotNull()).withColumn("key", F.when(F.col("field").isNotNull(), key))
+    return cut_lineage(rows.filter(F.col("field").isNull() | F.col("key").isNotNull()).withColumn("period", period(F.col("indexed_at"))))
 
 
 def period(ts: Column) -> Column:
@@ -104,88 +127,144 @@ def period(ts: Column) -> Column:
     return F.coalesce(F.year(ts) * 12 + F.month(ts), F.lit(0)).cast("int")
 
 
-def page_facts(pages: DataFrame, changes: DataFrame) -> DataFrame:
-    """Per key: first indexed_at, type of the newest revision, whether the last change is a deletion.
+def page_facts(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Per key of a page: first indexed_at, type of the newest revision, whether the last change is a deletion; rows are those of page_rows().
 
     Every page gives two keys, one with its wiki and one for any wiki. Ties of
     changed_at go to the larger change_id.
     """
-    both = lambda w, s: F.explode(F.array(F.concat(w, F.lit("\0"), s), F.concat(F.lit("\0"), s)))
+    change = "struct<changed_at:timestamp,change_id:bigint,status:string>"
+    came = rows.filter(F.col("field").isNull()).select("wiki", F.col("target").alias("slug"), "indexed_at", "type", F.struct("indexed_at", "rev_id").alias("at"), F.lit(None).cast(change).alias("c"))
+    slug = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"^wiki/", ""), r"\.md$", ""), r"/index$", "")
+    changed = changes.filter(F.col("path").isNotNull()).select("wiki", slug.alias("slug"), F.struct(F.col("changed_at").cast("timestamp").alias("changed_at"), F.col("change_id").cast("long").alias("change_id"), "status").alias("c"))
     # aggregated per page first: late deliveries and repeats never reach the second, skewed level
     known = (
-        pages.filter(F.col("slug").isNotNull())
+        came.unionByName(changed, allowMissingColumns=True)
         .groupBy(F.coalesce(F.col("wiki"), F.lit("")).alias("wiki"), "slug")
-        .agg(F.min("indexed_at").alias("first_at"), F.max_by("type", F.struct(F.col("indexed_at"), F.col("rev_id"))).alias("t_type"), F.max(F.struct("indexed_at", "rev_id")).alias("last"))
-        .select(both(F.col("wiki"), F.col("slug")).alias("key"), "first_at", "t_type", "last")
-        .groupBy("key")
-        .agg(F.min("first_at").alias("first_at"), F.max_by("t_type", "last").alias("t_type"), F.lit(True).alias("here"))
+        .agg(F.min("indexed_at").alias("first_at"), F.max_by("type", "at").alias("t_type"), F.max("at").alias("last"), F.max("c").alias("c"))
     )
-    slug = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"^wiki/", ""), r"\.md$", ""), r"/index$", "")
-    last = (
-        changes.filter(F.col("path").isNotNull())
-        .groupBy(F.coalesce(F.col("wiki"), F.lit("")).alias("wiki"), slug.alias("slug"))
-        .agg(F.max(F.struct("changed_at", "change_id", "status")).alias("c"))
-        .select(both(F.col("wiki"), F.col("slug")).alias("key"), "c")
-        .groupBy("key")
-        .agg(F.max("c").alias("c"))
-        .select("key", (F.coalesce(F.col("c.status"), F.lit("")) == "D").alias("gone"))
-    )
-    return known.join(last, "key", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-
-
-def encode_keys(keys: DataFrame, ranges: int) -> DataFrame:
-    """Dictionary of keys: range (hash bucket) and dense ordinal within it, in key order; containers of 65,536 ordinals."""
-    bucket = F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int")
-    ordinal = F.row_number().over(W.partitionBy("range").orderBy("key")) - 1
-    return keys.withColumn("range", bucket).withColumn("ordinal", ordinal).select("key", (F.col("range").cast("long") * (1 << 20) + F.floor(F.col("ordinal") / CONTAINER)).alias("container"), F.pmod(F.col("ordinal"), F.lit(CONTAINER)).cast("int").alias("bit"))
-
-
-def bitmaps(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """One packed container per (container, *by). A container has 65,536 bits at most, so a group is bounded after the distinct."""
-    return rows.groupBy("container", *by).agg(F.collect_set("bit").alias("bits")).select("container", *by, pack_udf("bits").alias(name))
-
-
-def orphan_bitmaps(pages: DataFrame, changes: DataFrame, decls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(references, facts, dictionary, suspects): suspects are the decoded bits of reference AND-NOT parent.
+    both = F.explode(F.array(F.concat("wiki", F.lit("\0"), "slug"), F.concat(F.lit("\0"), "slug")))
+    per = known.select(both.alias("key"), "first_at", "t_type", "last", "c").groupBy("key").agg(F.min("first_at").alias("first_at"), F.max_by("t_type", "last").alias("t_type"), F.max("last").alias("last"), F.max("c").alias("c"))
+    return per.filter(F.col("last").isNotNull()).select("key", "first_at", "t_type", (F.coalesce(F.col("c.status"), F.lit("")) == "D").alias("gone"))
+
+
+# Declarations of allowed target types, at most; they belong to the schemas, and more than this is an error.
+MOST_DECLS = 100_000
+
+
+def allowed_types(decls: DataFrame) -> dict[tuple[str, str], frozenset]:
+    """(row type, field) -> target types, where some are listed."""
+    rows = decls.filter(F.size(F.coalesce("target_types", F.array().cast("array<string>"))) > 0).select("type", "field", "target_types").distinct().limit(MOST_DECLS + 1).collect()
+    if len(rows) > MOST_DECLS:
+        raise ValueError(f"more than {MOST_DECLS} declarations")
+    out: dict[tuple[str, str], frozenset] = {}
+    for r in rows:
+        out[r.type, r.field] = out.get((r.type, r.field), frozenset()) | frozenset(r.target_types)
+    return out
+
+
+SUSPECTS = "key string, period int, kind string, ref_field string, n long, first_at {time}, gone boolean, absent boolean, misfit boolean"
+
+
+def _suspects_of(allowed: dict[tuple[str, str], frozenset]):
+    """Suspects of one key range: its dictionary, its bitmaps, and reference AND-NOT parent for each kind."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        column = lambda name: t.column(name).combine_chunks() if t.num_rows else t.column(name)
+        coded = column("key").dictionary_encode()
+        rank = np.empty(len(coded.dictionary), np.int64)
+        in_order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank[in_order] = np.arange(len(rank))
+        ordinal = rank[coded.indices.to_numpy()]
+        keys = coded.dictionary.take(pa.array(in_order))
+        is_page = pc.is_null(column("ref_field")).to_numpy(zero_copy_only=False)
+        month = column("period").to_numpy()
+        types = column("type").dictionary_encode()
+        type_names, type_code = types.dictionary.to_pylist(), types.indices.to_numpy()
+        # parents, from pages alone
+        pages = np.flatnonzero(is_page)
+        gone = column("gone").fill_null(False).to_numpy(zero_copy_only=False)
+        deleted = Bitmap.of(ordinal[pages[gone[pages]]])
+        of_type = {type_names[c]: Bitmap.of(ordinal[pages[type_code[pages] == c]]) for c in np.unique(type_code[pages])}
+        months = np.unique(month[pages])
+        before, came = {}, Bitmap({})  # before[m]: not deleted, and first came before month m
+        for m in np.unique(month[~is_page]):
+            before[int(m)] = None
+        waiting = sorted(before)
+        for m in months:
+            while waiting and waiting[0] <= m:
+                before[waiting.pop(0)] = came
+            came = came | Bitmap.of(ordinal[pages[month[pages] == m]]).minus(deleted)
+        for m in waiting:
+            before[m] = came
+        parents: dict[tuple, Bitmap] = {}
+
+        def parent(m: int, types: frozenset | None) -> Bitmap:
+            """Good parents of a kind: there in an earlier month, not deleted, of an allowed type."""
+            if (m, types) not in parents:
+                wrong = Bitmap({})
+                for name, b in of_type.items():
+                    if types is not None and name not in types:
+                        wrong = wrong | b
+                parents[m, types] = before[m].minus(wrong)
+            return parents[m, types]
+
+        # references: one bitmap a kind
+        refs = np.flatnonzero(~is_page)
+        fields = column("ref_field").dictionary_encode()
+        field_names, field_code = fields.dictionary.to_pylist(), fields.indices.fill_null(0).to_numpy()
+        order = refs[np.lexsort((ordinal[refs], field_code[refs], type_code[refs], month[refs]))]
+        same = (np.diff(month[order]) == 0) & (np.diff(type_code[order]) == 0) & (np.diff(field_code[order]) == 0)
+        rows = []
+        for kind in np.split(order, np.flatnonzero(~same) + 1) if len(order) else []:
+            m, kt, kf = int(month[kind[0]]), type_names[type_code[kind[0]]], field_names[field_code[kind[0]]]
+            left = Bitmap.of(ordinal[kind]).minus(parent(m, allowed.get((kt, kf)))).ordinals()
+            rows.append(kind[np.searchsorted(ordinal[kind], left)])
+        found = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        # what the range knows of each suspect key
+        page_of = np.full(len(keys), -1, np.int64)
+        page_of[ordinal[pages]] = pages
+        at = page_of[ordinal[found]]
+        absent = at < 0
+        take = pa.array(np.where(absent, 0, at))
+        first_at = pc.if_else(pa.array(absent), None, column("first_at").take(take))
+        fit = [a or allowed.get((type_names[type_code[f]], field_names[field_code[f]])) is None or type_names[type_code[p]] in allowed[type_names[type_code[f]], field_names[field_code[f]]] for f, p, a in zip(found, at, absent)]
+        out = [keys.take(pa.array(ordinal[found])), pa.array(month[found], pa.int32()), types.take(pa.array(found)).cast(pa.string()), fields.take(pa.array(found)).cast(pa.string()), column("n").take(pa.array(found)), first_at]
+        out += [pa.array(np.where(absent, False, gone[at])), pa.array(absent), pa.array([not x for x in fit], pa.bool_())]
+        return pa.table(dict(zip(("key", "period", "kind", "ref_field", "n", "first_at", "gone", "absent", "misfit"), out)))
+
+    return run
+
+
+def suspects(rows: DataFrame, changes: DataFrame, decls: DataFrame, ranges: int) -> DataFrame:
+    """(key, period, kind, ref_field, n, first_at, gone, absent, misfit): the decoded bits of reference AND-NOT parent, with what is known of their key.
 
     A parent bit is set for a kind (period, row type, field) if the page exists,
     is not deleted, first came in an earlier month, and has an allowed type. What
     stays is every reference that may be faulty; none that is faulty is lost.
     """
-    refs, facts = reference_rows(pages), page_facts(pages, changes)
-    ranges = max(parallelism(pages.sparkSession), estimated_bytes(pages) // (256 << 20))
-    # pre-aggregated: a popular page counts once for each month, type and field
-    kinds = refs.groupBy("key", "period", "type", "field").agg(F.count(F.lit(1)).alias("n"))
-    named = kinds.select("key").distinct()
-    dictionary = encode_keys(named, ranges)
-    coded = kinds.join(dictionary, "key").join(facts, "key", "left")
-    allowed = decls.filter(F.size(F.coalesce("target_types", F.array().cast("array<string>"))) > 0).groupBy("type", "field").agg(F.array_distinct(F.flatten(F.collect_list("target_types"))).alias("allowed"))
-    coded = coded.join(allowed, ["type", "field"], "left")
-    fits = F.col("allowed").isNull() | F.array_contains("allowed", F.coalesce("t_type", F.lit("")))
-    good = F.coalesce(F.col("here") & ~F.col("gone") & (period(F.col("first_at")) < F.col("period")) & fits, F.lit(False))
-    coded = coded.select("container", "bit", "period", F.coalesce("type", F.lit("")).alias("type"), "field", good.alias("good"))
-    by = ["period", "type", "field"]
-    both = coded.groupBy("container", *by).agg(F.collect_set("bit").alias("r"), F.collect_set(F.when(F.col("good"), F.col("bit"))).alias("p"))
-    packed = both.select("container", *by, pack_udf("r").alias("reference"), pack_udf("p").alias("parent"))
-    left = packed.select("container", *by, F.explode(and_not_udf("reference", "parent")).alias("bit"))
-    suspects = left.join(dictionary, ["container", "bit"]).select("key", *by)
-    return refs, facts, dictionary, suspects
+    blank = F.coalesce("type", F.lit("")).alias("type")
+    kinds = rows.filter(F.col("field").isNotNull()).select("key", "period", blank, F.col("field").alias("ref_field")).groupBy("key", "period", "type", "ref_field").agg(F.count(F.lit(1)).alias("n"))
+    facts = page_facts(rows, changes).select("key", period(F.col("first_at")).alias("period"), F.coalesce("t_type", F.lit("")).alias("type"), "first_at", "gone")
+    both = kinds.unionByName(facts, allowMissingColumns=True).withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
+    return both.repartition(ranges, "range").groupBy("range").applyInArrow(_suspects_of(allowed_types(decls)), SUSPECTS.format(time=rows.schema["indexed_at"].dataType.simpleString()))
+
+
+BYTES_PER_RANGE = 64 << 20
 
 
 def faulty_references(pages: DataFrame, changes: DataFrame, decls: DataFrame) -> DataFrame:
     """(rev_id, wiki, indexed_at, field, target, reason) of every faulty reference; reason is the first of missing, deleted, late, wrong-type."""
-    refs, facts, _, suspects = orphan_bitmaps(pages, changes, decls)
-    allowed = decls.filter(F.size(F.coalesce("target_types", F.array().cast("array<string>"))) > 0).groupBy("type", "field").agg(F.array_distinct(F.flatten(F.collect_list("target_types"))).alias("allowed"))
-    # facts join one row a kind, not one row a reference
-    judged = suspects.join(facts, "key", "left").join(allowed, ["type", "field"], "left")
-    judged = judged.withColumnsRenamed({"type": "kind", "field": "ref_field"}).select(
-        "key", "period", "kind", "ref_field", "first_at", F.coalesce("gone", F.lit(False)).alias("gone"), F.col("here").isNull().alias("absent"),
-        (F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.coalesce("t_type", F.lit("")))).alias("misfit"),
-    )
-    side = refs.withColumn("kind", F.coalesce("type", F.lit(""))).withColumn("ref_field", F.col("field"))
-    rows = salted_join(side, judged, ["key", "period", "kind", "ref_field"], "rev_id")
+    ranges = max(2 * parallelism(pages.sparkSession), estimated_bytes(pages) // BYTES_PER_RANGE)
+    rows = page_rows(pages)
+    found = cut_lineage(suspects(rows, changes, decls, ranges))
+    # suspects are one row a kind, not one row a reference, and know how many references they stand for
+    kind = ["key", "period", "kind", "ref_field"]
+    side = rows.filter(F.col("field").isNotNull()).withColumns({"kind": F.coalesce("type", F.lit("")), "ref_field": F.col("field")})
+    joined = salted_join(side, found.drop("n"), kind, "rev_id", counts=found.select(*kind, F.col("n").alias("_n")))
     reason = F.when(F.col("absent"), "missing").when(F.col("gone"), "deleted").when(F.col("first_at") > F.col("indexed_at"), "late").when(F.col("misfit"), "wrong-type")
-    return rows.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("rev_id", "wiki", "indexed_at", "field", "target", "reason")
+    return joined.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("rev_id", "wiki", "indexed_at", "field", "target", "reason")
 
 
 def orphan_report(faulty: DataFrame) -> DataFrame:

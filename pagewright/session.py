@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,16 +31,31 @@ def estimated_bytes(df: DataFrame) -> int:
     return known if len(sizes) == sum(x < 1 << 60 for x in sizes) else known + df.rdd.getNumPartitions() * BYTES_PER_TASK
 
 
+def scan_tasks(df: DataFrame) -> int | None:
+    """Tasks that would share the work of a plan of narrow steps over files; null if the plan shuffles, as its tasks are not known before it runs.
+
+    A file counts for one task for each 128 MB at most, as a row group is not divided.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return None
+    files = len(df.inputFiles())
+    return min(df._jdf.rdd().getNumPartitions(), max(files, estimated_bytes(df) >> 27)) if files else None
+
+
 def spread(df: DataFrame, *keys: str | Column, per_task: int = BYTES_PER_TASK, least: int | None = None) -> DataFrame:
-    """Hash-repartition a scan so that Python-heavy work uses every core.
+    """Rows over enough tasks for Python-heavy work; shuffled only where the scan alone has fewer tasks than two a core.
 
     A parquet file with one large row group is read by one task; hashing on an
     id spreads its rows evenly, and does so the same way when a task is rerun.
-    The number of partitions follows the estimated size of the input.
+    The number of partitions follows the estimated size of the input. A scan of
+    many files or row groups stays as it is, and no text crosses the network.
     """
     low = least or 2 * parallelism(df.sparkSession)
-    n = max(low, math.ceil(estimated_bytes(df) / per_task))
-    return df.repartition(min(n, 200_000), *keys)
+    tasks = scan_tasks(df)
+    if tasks is not None and tasks >= low:
+        return df
+    return df.repartition(max(low, math.ceil(estimated_bytes(df) / per_task)), *keys)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +67,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     folder = f"file://{os.environ.get('TMPDIR', '/tmp')}/pagewright-{uuid.uuid4().hex}"
     sc.setCheckpointDir(folder)
@@ -59,7 +75,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder: the files survive the loss of any executor."""
+    """checkpoint() into the shared folder: the files survive the loss of any executor.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints, which a session sets when it
+    starts, the files go once nothing refers to them any more.
+    """
     sc = df.sparkSession.sparkContext
     folder = shared_dir(df.sparkSession)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -67,23 +87,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], row_id: str, how: str = "inner", hot_rows: int = 200_000, counts: DataFrame | None = None) -> DataFrame:
-    """Equi-join of a side with hot keys to a side with one row a key.
+# Hot keys that a salted join treats apart, at most: a key is hot only if it has a larger share of the rows than one in so many.
+MOST_HOT = 10_000
 
-    Keys with more than ``hot_rows`` rows are found by a pre-aggregated count.
-    There are at most rows / hot_rows of them, so their list is small enough to
-    be broadcast, and is checked: past 100,000 hot keys it is joined instead.
-    Each hot key is split over ceil(rows / hot_rows) salts on the large side and
-    repeated as often on the other; all further keys keep salt 0. No row is lost.
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], row_id: str, how: str = "inner", hot_rows: int = 200_000, counts: DataFrame | None = None) -> DataFrame:
+    """Equi-join of a side with hot keys to a side with one row a key. No job runs while the plan is built.
+
+    A key is hot if a pre-aggregated count gives it more than ``hot_rows`` rows
+    and more than one in MOST_HOT of all rows; so there are fewer than MOST_HOT
+    hot keys at any size, and their list is broadcast. Each hot key is split over
+    ceil(rows / hot_rows) salts on the large side and repeated as often on the
+    other; all further keys keep salt 0. No row is lost. ``counts`` gives
+    (keys, _n) where they are known already.
     """
     counts = counts if counts is not None else many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > hot_rows).select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    hot = hot.persist()
-    n_hot = hot.count()
-    if not n_hot:
-        hot.unpersist()
-        return many.join(one, keys, how)
-    small = F.broadcast(hot) if n_hot <= 100_000 else hot
-    left = many.join(small, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"))).drop("_salts")
-    right = one.join(small, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
+    total = F.broadcast(counts.agg(F.sum("_n").alias("_all")))  # one row
+    hot = counts.crossJoin(total).filter((F.col("_n") > hot_rows) & (F.col("_n") * MOST_HOT > F.col("_all")))
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+    left = many.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"))).drop("_salts")
+    right = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
