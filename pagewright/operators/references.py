@@ -3,7 +3,7 @@
 Keys of pages and of references become integers: a key range (a hash bucket of
 the key) and an ordinal in the dictionary of the range. Pages alone give the
 parent bitmaps of a range: one for each month in which pages first came, one
-for each page type, one of the deleted. References, counted once for each
+for each set of types that a declaration allows, one of the deleted. References, counted once for each
 (key, month, row type, field), give a bitmap for each kind. reference AND-NOT
 parent leaves the suspects, which are decoded to keys and only then meet their
 rows; an exact comparison gives the reason. Bitmaps are stored as in roaring
@@ -57,7 +57,11 @@ def and_not(left: bytes, right: bytes) -> np.ndarray:
     if left and right and left[:1] == b"b" and right[:1] == b"b":
         a, b = (np.frombuffer(x, np.uint8, offset=1) for x in (left, right))
         return np.flatnonzero(np.unpackbits(a & ~b, bitorder="little")).astype(np.int64)
-    a, b = unpack_container(left), unpack_container(right)
+    a = unpack_container(left)
+    if right and right[:1] == b"b":  # sparse against dense: one look a bit
+        bits = np.frombuffer(right, np.uint8, offset=1)
+        return a[bits[a >> 3] >> (a & 7) & 1 == 0]
+    b = unpack_container(right)
     if not len(b):
         return a
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -74,8 +78,12 @@ class Bitmap:
     def of(cls, ordinals: np.ndarray) -> Bitmap:
         """Bitmap of any ordinals, repeats included."""
         bits = np.unique(ordinals)
+        if not len(bits):
+            return cls({})
+        if bits[-1] < CONTAINER:
+            return cls({0: pack_container(bits)})
         cuts = np.flatnonzero(np.diff(bits // CONTAINER)) + 1
-        return cls({int(part[0]) // CONTAINER: pack_container(part % CONTAINER) for part in np.split(bits, cuts) if len(part)})
+        return cls({int(part[0]) // CONTAINER: pack_container(part % CONTAINER) for part in np.split(bits, cuts)})
 
     def __or__(self, other: Bitmap) -> Bitmap:
         out = dict(self.parts)
@@ -93,19 +101,20 @@ class Bitmap:
         return np.concatenate([unpack_container(d) + k * CONTAINER for k, d in sorted(self.parts.items())] or [np.zeros(0, np.int64)])
 
 
-def entry_key(entry: Column, own_wiki: Column) -> Column:
-    """wiki <NUL> slug of an entry; own_wiki null means a page of that slug in any wiki.
+def with_key(rows: DataFrame, entry: str, own_wiki: Column) -> DataFrame:
+    """Adds key, wiki <NUL> slug of an entry; own_wiki null means a page of that slug in any wiki.
 
     Spaces are trimmed, then |alias, #anchor and .md dropped. wiki://w/s names
-    its wiki. A null or empty slug gives null.
+    its wiki. A null or empty slug gives null. Each step is a column of its own,
+    so that nothing is computed twice.
     """
-    trimmed = F.trim(entry)
-    cross = F.regexp_extract(trimmed, r"^wiki://([^/]+)/", 1)
-    rest = F.regexp_replace(trimmed, r"^wiki://[^/]+/", "")
-    slug = F.trim(F.regexp_replace(F.regexp_replace(rest, r"(?s)[|#].*$", ""), r"\s+$", ""))
-    slug = F.regexp_replace(slug, r"\.md$", "")
-    wiki = F.when(cross != "", cross).otherwise(F.coalesce(own_wiki, F.lit("")))
-    return F.when(slug.isNotNull() & (slug != ""), F.concat(wiki, F.lit("\0"), slug))
+    rows = rows.withColumn("_t", F.trim(entry))
+    rows = rows.withColumn("_w", F.when(F.col("_t").startswith("wiki://"), F.regexp_extract("_t", r"^wiki://([^/]+)/", 1)).otherwise(""))
+    rest = F.when(F.col("_w") != "", F.substring(F.col("_t"), F.length("_w") + 9, F.length("_t"))).otherwise(F.col("_t"))
+    rows = rows.withColumn("_s", F.trim(F.rtrim(F.substring_index(F.substring_index(rest, "|", 1), "#", 1), F.lit(" \t\n\r\f\x0b"))))
+    rows = rows.withColumn("_s", F.when(F.col("_s").endswith(".md"), F.substring(F.col("_s"), F.lit(1), F.length("_s") - 3)).otherwise(F.col("_s")))
+    wiki = F.when(F.col("_w") != "", F.col("_w")).otherwise(F.coalesce(own_wiki, F.lit("")))
+    return rows.withColumn("key", F.when(F.col("_s") != "", F.concat(wiki, F.lit("\0"), "_s"))).drop("_t", "_w", "_s")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -114,12 +123,12 @@ def page_rows(pages: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     values = {"body_links": F.col("body_links")} | {name: F.try_element_at(F.col("fields"), F.lit(name)) for name in FIELD_KEYS}
     tagged = lambda name: lambda x: F.struct(F.lit(name).alias("field"), x.alias("target"))
-    entries = [F.transform(F.coalesce(v, empty), tagged(name)) for name, v in values.items()]
+    # distinct as strings, field by field: structs would be compared pair by pair
+    entries = [F.transform(F.array_distinct(F.coalesce(v, empty)), tagged(name)) for name, v in values.items()]
     own = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.col("slug").alias("target")))
-    rows = pages.select(*base, F.explode(F.concat(own, F.array_distinct(F.concat(*entries)))).alias("e")).select(*base, "e.field", "e.target")
-    key = entry_key(F.col("target"), F.when(F.col("field") != "body_links", F.col("wiki")))
-    rows = rows.filter(F.col("target").isNotNull()).withColumn("key", F.when(F.col("field").isNotNull(), key))
-    return cut_lineage(rows.filter(F.col("field").isNull() | F.col("key").isNotNull()).withColumn("period", period(F.col("indexed_at"))))
+    rows = pages.select(*base, F.explode(F.concat(own, *entries)).alias("e")).select(*base, "e.field", "e.target")
+    rows = with_key(rows.filter(F.col("target").isNotNull()), "target", F.when(F.col("field") != "body_links", F.col("wiki")))
+    return cut_lineage(rows.withColumn("period", period(F.col("indexed_at")))).filter(F.col("field").isNull() | F.col("key").isNotNull())
 
 
 def period(ts: Column) -> Column:
@@ -186,7 +195,6 @@ def _suspects_of(allowed: dict[tuple[str, str], frozenset]):
         pages = np.flatnonzero(is_page)
         gone = column("gone").fill_null(False).to_numpy(zero_copy_only=False)
         deleted = Bitmap.of(ordinal[pages[gone[pages]]])
-        of_type = {type_names[c]: Bitmap.of(ordinal[pages[type_code[pages] == c]]) for c in np.unique(type_code[pages])}
         months = np.unique(month[pages])
         before, came = {}, Bitmap({})  # before[m]: not deleted, and first came before month m
         for m in np.unique(month[~is_page]):
@@ -198,16 +206,17 @@ def _suspects_of(allowed: dict[tuple[str, str], frozenset]):
             came = came | Bitmap.of(ordinal[pages[month[pages] == m]]).minus(deleted)
         for m in waiting:
             before[m] = came
+        wrong: dict[frozenset, Bitmap] = {}
         parents: dict[tuple, Bitmap] = {}
 
         def parent(m: int, types: frozenset | None) -> Bitmap:
             """Good parents of a kind: there in an earlier month, not deleted, of an allowed type."""
+            if types is None:
+                return before[m]
+            if types not in wrong:
+                wrong[types] = Bitmap.of(ordinal[pages[~np.isin(type_code[pages], [k for k, name in enumerate(type_names) if name in types])]])
             if (m, types) not in parents:
-                wrong = Bitmap({})
-                for name, b in of_type.items():
-                    if types is not None and name not in types:
-                        wrong = wrong | b
-                parents[m, types] = before[m].minus(wrong)
+                parents[m, types] = before[m].minus(wrong[types])
             return parents[m, types]
 
         # references: one bitmap a kind

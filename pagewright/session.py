@@ -75,16 +75,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder: the files survive the loss of any executor.
+    """The rows as a table in the shared folder: written once, it survives the loss of any executor, and later steps read only the columns they need.
 
-    With spark.cleaner.referenceTracking.cleanCheckpoints, which a session sets when it
-    starts, the files go once nothing refers to them any more.
+    The files go when the driver's JVM ends.
     """
-    sc = df.sparkSession.sparkContext
-    folder = shared_dir(df.sparkSession)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    name = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(name)
+    return spark.read.schema(df.schema).parquet(name)
 
 
 # Hot keys that a salted join treats apart, at most: a key is hot only if it has a larger share of the rows than one in so many.
