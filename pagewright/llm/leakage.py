@@ -2,15 +2,17 @@
 
 Texts become streams of folded letters and digits, without case, spaces,
 punctuation, Markdown marks and differences of character form. By the q-gram
-lemma, a passage of m characters that an edit budget has touched still shares
-a least number of its q-grams with the item, all near one diagonal. Shared
-q-grams are therefore counted in overlapping diagonal bands, and only regions
-that reach the item's bound are kept; a banded alignment of units (words, or
-characters for Chinese items) then decides exactly.
+lemma, a passage that an edit budget has touched still shares a least number of
+its q-grams with the item. An edit shifts the rest of a passage by one unit (a
+word, or a character of Chinese items), so all of them lie within a few unit
+diagonals. Shared q-grams are therefore counted in overlapping diagonal bands,
+and only regions that reach the item's bound are kept; an alignment over the
+diagonals of the region, widened by the edit budget, then decides exactly.
 
 A document holds an item if n >= 12 successive words of the item (24 characters
 of a Chinese one) align with one place of it with at most n / 5 units replaced,
-dropped or added.
+dropped or added. Any such run holds a qualifying one of 12, 15 or 20 words
+(24, 25 or 30 characters), so runs up to LONGEST units are enough to look at.
 
 Defined results: null and empty documents and items hold nothing. Items shorter
 than the least run cannot leak. Repeated item ids count once for each text.
@@ -32,11 +34,14 @@ from pagewright.llm.lookalike import _prototype
 from pagewright.session import spread
 
 RUN_WORDS, RUN_CHARS, ONE_IN = 12, 24, 5
-Q_WORDS, Q_CHARS = 6, 3
-BAND = 96
-MARGIN_WORDS, MARGIN_CHARS = 240, 40  # characters about a band that may belong to a least run
+LONGEST = {False: 20, True: 30}  # longest run that has to be looked at, by whether units are characters
+BUDGET = {k: n // ONE_IN for k, n in LONGEST.items()}
+Q_WORDS, Q_CHARS = 6, 3  # q of an item, or the largest smaller one that leaves it a bound
+BAND = 16  # unit diagonals of a band; half of it is more than any budget
 CHUNK_CHARS = 1 << 20
-ITEMS_PER_BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, BLOCK_ITEMS = 8 << 20, 4000  # items of one gallery
+MOST_HITS = 4 << 20  # shared q-grams that are expanded at once; beyond, the items are looked at in halves
+PASS_BYTES = 128 << 20  # text of the items whose galleries one pass over the documents holds
 _LINK = re.compile(r"\]\([^()\s]*(?:\s+\"[^\"]*\")?\)|<[a-zA-Z/][^<>\n]{0,200}>")
 _DROP = set("*_`~'’ʼ´")
 SEPARATOR, DROPPED = 0, 1
@@ -64,38 +69,60 @@ def _folding() -> tuple[np.ndarray, re.Pattern]:
     return table, re.compile("[" + "".join(map(re.escape, several)) + "]")
 
 
-def codes(text: str) -> np.ndarray:
-    """Folded codes of a text with separators, dropped characters removed."""
+SEP = "\ue001"  # between the texts of a batch
+
+
+def _prepared(text: str) -> str:
     if "](" in text or "<" in text:
         text = _LINK.sub("]", text)
-    table, several = _folding()
-    if not text.isascii() and several.search(text):
-        text = several.sub(lambda m: _prototype(m[0]), text)
-    raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    out = table[np.minimum(raw, 0xFFFF)]
-    big = raw > 0xFFFF
-    if big.any():
-        out = np.where(big, np.where((raw >= 0x20000) & (raw < 0x32000), raw, SEPARATOR), out)
-    return out[out != DROPPED]
+    return text.replace(SEP, " ") if SEP in text else text
+
+
+def _is_han(c: np.ndarray) -> np.ndarray:
+    return ((c >= 0x3040) & (c < 0xA000)) | (c >= 0x20000)
 
 
 @dataclass
 class Stream:
-    """Letters and digits without separators, and the word each belongs to."""
+    """Letters and digits of a batch of texts without separators: the text and the word that each belongs to, words counted over the batch."""
 
     chars: np.ndarray
     word: np.ndarray
+    text: np.ndarray
 
 
-def _is_han(c: np.ndarray) -> np.ndarray:
-    return ((c >= 0x3040) & (c < 0xA000)) | (c >= 0x20000)
+def stream(texts: list[str | None]) -> Stream:
+    joined = SEP.join(_prepared(t) if t else "" for t in texts)
+    table, several = _folding()
+    if not joined.isascii() and several.search(joined):
+        joined = several.sub(lambda m: _prototype(m[0]), joined)
+    raw = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+    c = table[np.minimum(raw, 0xFFFF)]
+    big = raw > 0xFFFF
+    if big.any():
+        c = np.where(big, np.where((raw >= 0x20000) & (raw < 0x32000), raw, SEPARATOR), c)
+    kept = c != DROPPED
+    c, text = c[kept], np.cumsum(raw == ord(SEP), dtype=np.int64)[kept]
+    solid, han = c != SEPARATOR, _is_han(c)
+    starts = solid.copy()
+    starts[1:] &= ~solid[:-1] | han[1:] | han[:-1]
+    return Stream(c[solid].astype(np.uint64), (np.cumsum(starts) - 1)[solid], text[solid])
 
 
-def stream(c: np.ndarray) -> Stream:
-    solid = c != SEPARATOR
-    before = np.concatenate(([False], solid[:-1])) if len(c) else solid
-    starts = solid & (~before | _is_han(c) | np.concatenate(([False], _is_han(c[:-1]))) if len(c) else solid)
-    return Stream(c[solid].astype(np.uint64), (np.cumsum(starts) - 1)[solid])
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def words(chars: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word of a stretch."""
+    if not len(chars):
+        return np.zeros(0, np.uint64)
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(word) != 0)))
+    size = np.diff(np.concatenate((starts, [len(chars)])))
+    place = (np.arange(len(chars)) - np.repeat(starts, size)).astype(np.uint64)
+    return np.add.reduceat(_mixed(chars * np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0xD1B54A32D192ED03)), starts) + size.astype(np.uint64)
 
 
 def grams(chars: np.ndarray, q: int) -> np.ndarray:
@@ -116,9 +143,10 @@ def grams(chars: np.ndarray, q: int) -> np.ndarray:
 class Item:
     id: int
     chars: np.ndarray
-    word: list[int]
-    units: list
+    unit_of: np.ndarray  # unit of each character
+    units: np.ndarray
     by_char: bool
+    q: int
     bound: int
 
 
@@ -130,28 +158,22 @@ def _bound(lengths: np.ndarray, q: int, least: int) -> int:
         for s in range(len(lengths) - n + 1):
             spoiled = np.sort(lengths[s : s + n])[::-1][:edits] + q - 1
             worst = min(worst, int(total[s + n] - total[s] - q + 1 - spoiled.sum()))
-    return max(2, worst) if worst < 1 << 30 else 1 << 30
+    return worst
 
 
 def make_item(key: int, text: str) -> Item | None:
-    s = stream(codes(text))
-    by_char = bool(len(s.chars)) and _is_han(s.chars).mean() > 0.3
-    if by_char:
-        if len(s.chars) < RUN_CHARS - RUN_CHARS // ONE_IN:
-            return None
-        return Item(key, s.chars, [], s.chars.tolist(), True, _bound(np.ones(len(s.chars), np.int64), Q_CHARS, RUN_CHARS))
-    lengths = np.bincount(s.word) if len(s.word) else np.zeros(0, np.int64)
-    if len(lengths) < RUN_WORDS:
+    s = stream([text])
+    if not len(s.chars):
         return None
-    return Item(key, s.chars, s.word.tolist(), _words(s.chars, s.word), False, _bound(lengths, Q_WORDS, RUN_WORDS))
-
-
-def _words(chars: np.ndarray, word: np.ndarray) -> list[bytes]:
-    """The words of a stretch, each as bytes."""
-    if not len(chars):
-        return []
-    cut = np.flatnonzero(np.diff(word)) + 1
-    return [w.astype(np.uint32).tobytes() for w in np.split(chars, cut)]
+    by_char = bool(_is_han(s.chars).mean() > 0.3)
+    lengths = np.ones(len(s.chars), np.int64) if by_char else np.bincount(s.word)
+    least = RUN_CHARS if by_char else RUN_WORDS
+    if len(lengths) < least:
+        return None
+    # with q = 1 only the letters of the edited units are lost, so some q always leaves a bound
+    q = next(q for q in range(Q_CHARS if by_char else Q_WORDS, 0, -1) if q == 1 or _bound(lengths, q, least) >= 2)
+    unit_of = np.arange(len(s.chars)) if by_char else s.word
+    return Item(key, s.chars, unit_of, s.chars if by_char else words(s.chars, s.word), by_char, q, _bound(lengths, q, least))
 
 
 class Gallery:
@@ -159,175 +181,179 @@ class Gallery:
 
     def __init__(self, items: list[Item]):
         self.items = items
-        self.tables = {by_char: self._table([k for k, i in enumerate(items) if i.by_char == by_char], Q_CHARS if by_char else Q_WORDS) for by_char in (False, True)}
+        self.longest = max((len(i.units) for i in items), default=0)  # units of the longest item
+        self.bounds = np.array([i.bound for i in items])
+        self.tables = {kind: self._table(kind) for kind in sorted({(i.by_char, i.q) for i in items})}
 
-    def _table(self, which: list[int], q: int):
-        if not which:
-            return None
-        h = [grams(self.items[k].chars, q) for k in which]
+    def _table(self, kind: tuple[bool, int]):
+        which = [k for k, i in enumerate(self.items) if (i.by_char, i.q) == kind]
+        h = [grams(self.items[k].chars, kind[1]) for k in which]
         owner = np.repeat(np.array(which), [len(x) for x in h])
-        place = np.concatenate([np.arange(len(x)) for x in h])
+        unit = np.concatenate([self.items[k].unit_of[: len(x)] for k, x in zip(which, h)])
         keys = np.concatenate(h)
         order = np.argsort(keys, kind="stable")
-        keys, owner, place = keys[order], owner[order], place[order]
+        keys, owner, unit = keys[order], owner[order], unit[order]
         unique, first, count = np.unique(keys, return_index=True, return_counts=True)
         mask = np.zeros(1 << 22, bool)
         mask[(unique >> np.uint64(42)).astype(np.int64)] = True
-        return q, unique, first, count, owner, place, mask
-
-    def regions(self, chars: np.ndarray, by_char: bool) -> list[tuple[int, int, int, int, int]]:
-        """(item, first, last place in the text, first, last place in the item) of the bands that reach their item's bound."""
-        t = self.tables[by_char]
-        if t is None:
-            return []
-        q, unique, first, count, owner, place, mask = t
-        h = grams(chars, q)
+        return unique, first, count, owner, unit, mask
+
+    @cache
+    def halves(self) -> tuple[Gallery, Gallery]:
+        """The same items in two galleries, for texts that share very many q-grams with them."""
+        middle = len(self.items) // 2
+        return Gallery(self.items[:middle]), Gallery(self.items[middle:])
+
+    def regions(self, s: Stream, kind: tuple[bool, int]) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text, item, first, last diagonal, first, last unit of the item) of the bands that reach their item's bound.
+
+        A diagonal is the unit of the text, counted over the batch, less the unit of the item.
+        """
+        by_char, q = kind
+        unique, first, count, owner, unit, mask = self.tables[kind]
+        h = grams(s.chars, q)
         at = np.flatnonzero(mask[(h >> np.uint64(42)).astype(np.int64)])
+        at = at[s.text[at] == s.text[at + q - 1]]
         if not len(at):
-            return []
+            return
         k = np.minimum(np.searchsorted(unique, h[at]), len(unique) - 1)
         hit = unique[k] == h[at]
         at, k = at[hit], k[hit]
-        # a gram of many items is expanded in steps, so that memory stays bounded
-        out: list[tuple[int, int, int, int, int]] = []
         if not len(at):
-            return []
-        keys, spots, own = [], [], []
-        for lo in range(0, len(at), 200_000):
-            a, kk = at[lo : lo + 200_000], k[lo : lo + 200_000]
-            n = count[kk]
-            row = np.repeat(np.arange(len(a)), n)
-            slot = first[kk][row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
-            diagonal = a[row] - place[slot] + (1 << 20)
-            band = diagonal // BAND
-            # bands overlap by half: a hit counts in its own and in the shifted one
-            shifted = (diagonal + BAND // 2) // BAND + (1 << 40)
-            for b in (band, shifted):
-                keys.append(b * 8192 + owner[slot])
-                spots.append(a[row])
-                own.append(place[slot])
-        keys, spots, own = np.concatenate(keys), np.concatenate(spots), np.concatenate(own)
-        order = np.argsort(keys, kind="stable")
-        keys, spots, own = keys[order], spots[order], own[order]
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1))
-        sizes = np.diff(np.concatenate((cut, [len(keys)])))
-        item = keys[cut] % 8192
-        bounds = np.array([i.bound for i in self.items])
-        for c in np.flatnonzero(sizes >= bounds[item]):
-            where, there = spots[cut[c] : cut[c] + sizes[c]], own[cut[c] : cut[c] + sizes[c]]
-            out.append((int(item[c]), int(where.min()), int(where.max()), int(there.min()), int(there.max())))
-        return out
-
-
-def aligned(pattern: list, text: list, least: int) -> bool:
-    """Whether n >= least successive units of the pattern align somewhere in the text with at most n / 5 edits."""
-    n, m = len(pattern), len(text)
-    starts = n - least + 1
-    if starts <= 0 or m < least - least // ONE_IN:
+            return
+        n = count[k]
+        if n.sum() > MOST_HITS and len(self.items) > 1:
+            for half, base in zip(self.halves(), (0, len(self.items) // 2)):
+                if kind in half.tables:
+                    for text, item, *rest in half.regions(s, kind):
+                        yield text, item + base, *rest
+            return
+        row = np.repeat(np.arange(len(at)), n)
+        slot = first[k][row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+        # texts lie so far apart that no band holds diagonals of two of them
+        where = (at if by_char else s.word[at]) + s.text[at] * (self.longest + 2 * BAND)
+        there, item = unit[slot], owner[slot]
+        diagonal = where[row] - there + self.longest
+        for shift in (0, BAND // 2):  # bands overlap by half
+            keys = (diagonal + shift) // BAND * (BLOCK_ITEMS + 1) + item
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            size = np.diff(np.concatenate((cut, [len(keys)])))
+            for c in np.flatnonzero(size >= self.bounds[keys[cut] % (BLOCK_ITEMS + 1)]):
+                rows = order[cut[c] : cut[c] + size[c]]
+                text = int(s.text[at[row[rows[0]]]])
+                d, u = diagonal[rows] - self.longest - text * (self.longest + 2 * BAND), there[rows]
+                yield text, int(item[rows[0]]), int(d.min()), int(d.max()), int(u.min()), int(u.max())
+
+
+def aligned(item: Item, text: np.ndarray, first: int, last: int, low: int, high: int) -> bool:
+    """Whether a run of the item that holds one of its units low to high aligns with the text on the diagonals first to last, widened by the budget."""
+    longest, budget, least = LONGEST[item.by_char], BUDGET[item.by_char], RUN_CHARS if item.by_char else RUN_WORDS
+    start, stop = max(0, low - longest + 1), min(high, len(item.units) - least)
+    if start > stop:
         return False
-    code: dict = {}
-    p = np.array([code.setdefault(u, len(code)) for u in pattern])
-    t = np.array([code.setdefault(u, len(code)) for u in text])
-    col = np.arange(m + 1, dtype=np.int32)
-    # row s is the alignment that begins at unit s of the pattern; the text may begin anywhere
-    d = np.zeros((starts, m + 1), np.int32)
-    for i in range(n):
-        alive = min(starts, n - i)
+    runs = stop - start + 1
+    unit = np.arange(start, min(len(item.units), stop + longest))
+    diagonal = np.arange(first - budget, last + budget + 1)
+    place = unit[:, None] + diagonal
+    differs = ((place < 0) | (place >= len(text)) | (text[np.clip(place, 0, len(text) - 1)] != item.units[unit][:, None])).astype(np.int16)
+    col = np.arange(len(diagonal), dtype=np.int16)
+    # row r is the run that begins at unit start + r; the text may begin on any diagonal of the band
+    d = np.zeros((runs, len(diagonal)), np.int16)
+    for i in range(longest):
+        alive = min(runs, len(unit) - i)
+        if alive <= 0:
+            return False
         d = d[:alive]
-        differs = (p[i : i + alive, None] != t[None, :]).astype(np.int32)
-        step = d + 1
-        step[:, 1:] = np.minimum(step[:, 1:], d[:, :-1] + differs)
+        step = d + differs[i : i + alive]
+        np.minimum(step[:, :-1], d[:, 1:] + 1, out=step[:, :-1])
         step -= col
         np.minimum.accumulate(step, axis=1, out=step)
         step += col
         d = step
-        low = d.min(axis=1)
-        if i + 1 >= least and (low <= (i + 1) // ONE_IN).any():
+        least_edits = d.min()
+        if i + 1 >= least and least_edits <= (i + 1) // ONE_IN:
             return True
-        if low.min() > n // ONE_IN:
+        if least_edits > budget:
             return False
     return False
 
 
-def leaks(texts: list[str], gallery: Gallery) -> list[list[int]]:
+def leaks(texts: list[str | None], galleries: list[Gallery]) -> list[list[int]]:
     """Ids of the items that each text holds."""
-    out: list[list[int]] = [[] for _ in texts]
-    streams = [stream(codes(t)) if t else None for t in texts]
+    out: list[list[int]] = []
     lo = 0
     while lo < len(texts):
         hi, size = lo, 0
         while hi < len(texts) and (hi == lo or size < CHUNK_CHARS):
-            size += len(streams[hi].chars) if streams[hi] else 0
+            size += len(texts[hi] or "")
             hi += 1
-        _leaks_of(streams[lo:hi], gallery, out, lo)
+        out += _leaks_of(texts[lo:hi], galleries)
         lo = hi
     return out
 
 
-def _leaks_of(streams: list[Stream | None], gallery: Gallery, out: list[list[int]], base: int) -> None:
-    # documents lie one after the other, a gap between them that no gram and no band of an item can bridge
-    gap = np.zeros(Q_WORDS, np.uint64)
-    parts, offsets, at = [], [], 0
-    for s in streams:
-        offsets.append(at)
-        if s is not None:
-            parts += [s.chars, gap]
-            at += len(s.chars) + len(gap)
-    if not parts:
-        return
-    chars, offsets = np.concatenate(parts), np.array(offsets)
-    for by_char in (False, True):
-        seen: dict[tuple[int, int], bool] = {}
-        for item, first, last, low, high in gallery.regions(chars, by_char):
-            it = gallery.items[item]
-            lowest, highest = (int(np.searchsorted(offsets, x, side="right")) - 1 for x in (first, last))
-            for doc in range(lowest, highest + 1):
-                s = streams[doc]
-                if s is None or seen.get((doc, item)):
-                    continue
-                # a run that qualifies still does when cut to the least run around its outermost shared grams
-                margin = MARGIN_CHARS if by_char else MARGIN_WORDS
-                a, b = max(0, first - int(offsets[doc]) - margin), min(len(s.chars), last - int(offsets[doc]) + margin)
-                if a >= b:
+def _leaks_of(texts: list[str | None], galleries: list[Gallery]) -> list[list[int]]:
+    s = stream(texts)
+    found: list[dict[int, None]] = [{} for _ in texts]
+    ends = np.searchsorted(s.text, np.arange(len(texts) + 1))
+    first_word: dict[int, np.ndarray] = {}
+    for gallery in galleries:
+        for kind in gallery.tables:
+            seen: set[tuple] = set()
+            for text, k, first, last, low, high in gallery.regions(s, kind):
+                item = gallery.items[k]
+                if item.id in found[text] or (text, k, first, last, low, high) in seen:
                     continue
-                if by_char:
-                    units, least = s.chars[a:b].tolist(), RUN_CHARS
-                else:  # whole words
-                    a, b = np.searchsorted(s.word, s.word[a]), np.searchsorted(s.word, s.word[b - 1], side="right")
-                    units, least = _words(s.chars[a:b], s.word[a:b]), RUN_WORDS
-                lo, hi = (low, high + Q_CHARS) if by_char else (it.word[low], it.word[min(high + Q_WORDS - 1, len(it.word) - 1)] + 1)
-                if aligned(it.units[max(0, lo - least) : hi + least], units, least):
-                    seen[doc, item] = True
-                    if it.id not in out[base + doc]:
-                        out[base + doc].append(it.id)
+                seen.add((text, k, first, last, low, high))
+                a, b = ends[text], ends[text + 1]
+                if kind[0]:
+                    units, before = s.chars[a:b], int(a)
+                else:
+                    if text not in first_word:
+                        first_word[text] = words(s.chars[a:b], s.word[a:b])
+                    units, before = first_word[text], int(s.word[a])
+                if aligned(item, units, first - before, last - before, low, high):
+                    found[text][item.id] = None
+    return [list(f) for f in found]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id): documents against all items, the items in blocks of a bounded size."""
+    """(doc_id, item_id): documents against all items, which are a query set.
+
+    Items come in blocks of bounded size, each a gallery; one pass over the
+    documents holds the galleries of PASS_BYTES of item text, so a larger query
+    set takes more passes, and no executor holds more than those of a pass.
+    """
     spark = documents.sparkSession
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    total = items.agg(F.sum(F.length("text") * 4), F.count(F.lit(1))).first()
-    blocks = max(1, -(-(total[0] or 0) // ITEMS_PER_BLOCK_BYTES), -(-total[1] // 4000))
+    total = items.agg(F.sum(F.octet_length("text").cast("long")), F.count(F.lit(1))).first()
+    blocks = max(1, -(-(total[0] or 0) // BLOCK_BYTES), -(-total[1] // (BLOCK_ITEMS // 2)))
     docs = spread(documents.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text"), "doc_id")
-    parts = []
+    passes, made, held = [], [], 0
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # one bounded block of the query set
-        made = [m for m in (make_item(r.item_id, r.text) for r in rows) if m]
-        gallery = spark.sparkContext.broadcast(Gallery(made))
-        parts.append(docs.mapInArrow(_runner(gallery), "doc_id long, item_id long"))
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # one bounded block of the query set
+        for at in range(0, max(1, len(rows)), BLOCK_ITEMS):
+            gallery = Gallery([m for m in (make_item(r.item_id, r.text) for r in rows[at : at + BLOCK_ITEMS]) if m])
+            made.append(spark.sparkContext.broadcast(gallery))
+        held += sum(len(r.text) for r in rows)
+        if held >= PASS_BYTES:
+            passes, made, held = [*passes, made], [], 0
+    parts = [docs.mapInArrow(_runner(galleries), "doc_id long, item_id long") for galleries in [*passes, made] if galleries]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
 
 
-def _runner(gallery):
+def _runner(galleries: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             text = batch.column(1)
             for lo in range(0, len(ids), 1000):
-                found = leaks(text.slice(lo, 1000).to_pylist(), gallery.value)
+                found = leaks(text.slice(lo, 1000).to_pylist(), [g.value for g in galleries])
                 pairs = [(d, i) for d, its in zip(ids[lo : lo + 1000], found) for i in its]
                 if pairs:
                     a, b = zip(*pairs)
