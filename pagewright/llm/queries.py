@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +24,18 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a body with each kind of personal data that it holds."""
-    return _personal(spark, sf_dir).select("rev_id", "line_number", "pattern_name").distinct()
+    return redact.find_personal_data(table(spark, sf_dir, "corpus_pages"), table(spark, sf_dir, "redact_types")).distinct()
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record for each match, with its pseudonym and the link that equal values share."""
-    return _personal(spark, sf_dir)
+    """One record for each match, with its pseudonym and the link that equal values share.
+
+    The key is spark.pagewright.pseudonymKey; where it is unset, a key that is
+    thrown away with the plan, so that links hold within one run and nobody can
+    restore the values.
+    """
+    key = spark.conf.get("spark.pagewright.pseudonymKey", None) or secrets.token_hex(32)
+    return redact.personal_records(table(spark, sf_dir, "corpus_pages"), table(spark, sf_dir, "redact_types"), key)
 
 
 def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +43,6 @@ def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redact_bodies(table(spark, sf_dir, "corpus_pages"), table(spark, sf_dir, "redact_types"))
 
 
-def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.find_personal_data(table(spark, sf_dir, "corpus_pages"), table(spark, sf_dir, "redact_types"))
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows whose title or body look the same but differ."""
     return lookalike.equal_look_pairs(table(spark, sf_dir, "corpus_pages"))

@@ -2,10 +2,14 @@
 
 Every match becomes the placeholder of its type; the rest of the text stays as
 it is. The record of a match carries a pseudonym made by a format-preserving
-Feistel permutation: digits stay digits, letters letters, dates dates, and equal
-values get equal links in every document, whatever their separators: the link is
-the pseudonym of the canonical value, while the pseudonym keeps the format found.
-The key is a parameter; without it the values cannot be recovered.
+Feistel permutation under a secret key, which the caller must give: digits stay
+digits, letters of a script letters of that script, dates dates, and no letter
+or digit of the value is handed on as it is. A number that passes the check of a
+public numbering scheme has its payload permuted and its check digits computed
+anew, so it is valid in the same scheme. Words that only label a value (ext.,
+[at], Street) stay. Equal values get equal links in every document, whatever
+their separators: the link is the permuted canonical value, from which restore()
+gets it back, while the pseudonym keeps the format found.
 
 Detection works on a look-alike-free copy of the text that keeps its places
 (full-width forms, kinds of space and hyphen, Greek or Cyrillic letters inside
@@ -34,8 +38,6 @@ from pyspark.sql import types as T
 from pagewright.llm.lookalike import INVISIBLE, PROTOTYPES
 from pagewright.session import spread
 
-DEFAULT_KEY = "pagewright"
-
 # --- format-preserving permutation ------------------------------------------------------------
 
 ROUNDS = 10
@@ -75,45 +77,155 @@ def permute_date(day: date, key: bytes, inverse: bool = False) -> date:
     return FIRST_DAY + timedelta(days=feistel(n, DAYS, key, b"date", inverse)) if 0 <= n < DAYS else day
 
 
-def _class_of(ch: str) -> int:
-    return 10 if ch.isascii() and ch.isdigit() else 26 if ch.isascii() and ch.isalpha() else HAN_COUNT if 0 <= ord(ch) - HAN_FIRST < HAN_COUNT else 0
+@cache
+def _alphabets() -> tuple[dict[str, tuple[int, int]], list[str]]:
+    """character -> (alphabet, place), and the alphabets: letters, marks and numbers of one script, block and category; digits go from 0 to 9.
+
+    Built from the names of the character database; groups of fewer than eight join those of all small scripts.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for code in range(0x80, 0x32400):
+        ch = chr(code)
+        kind = unicodedata.category(ch)
+        if kind[0] in "LMN":
+            words = unicodedata.name(ch, "UNNAMED").split()
+            block = 0x4E if words[0] == "CJK" and 0x4E00 <= code < 0xA000 else code >> 8
+            script = (*words[:2],) if words[0] == "HANGUL" else (words[0], block)
+            groups.setdefault((code - unicodedata.digit(ch),) if kind == "Nd" else (kind, *script), []).append(ch)
+    for k in [k for k, v in groups.items() if len(v) < 8]:
+        groups.setdefault(("small",), []).extend(groups.pop(k))
+    alphabets = ["0123456789", "abcdefghijklmnopqrstuvwxyz", *("".join(v) for v in groups.values())]
+    return {ch: (k, at) for k, alphabet in enumerate(alphabets) for at, ch in enumerate(alphabet)}, alphabets
+
+
+def permute(text: str, key: bytes, tweak: bytes, inverse: bool = False, where: list[int] | None = None) -> str:
+    """The text with its letters, marks and digits permuted, those of each alphabet as one number; ASCII letters keep their case. where limits it to some places."""
+    places, alphabets = _alphabets()
+    chars, of = list(text), {}
+    for i in range(len(chars)) if where is None else where:
+        ch = chars[i].lower() if chars[i].isascii() else chars[i]
+        if ch in places:
+            of.setdefault(places[ch][0], []).append(i)
+    for k, at in of.items():
+        alphabet, value = alphabets[k], 0
+        for i in at:
+            value = value * len(alphabet) + places[chars[i].lower() if chars[i].isascii() else chars[i]][1]
+        value = feistel(value, len(alphabet) ** len(at), key, tweak + b"|%d|%d" % (k, len(at)), inverse)
+        for i in reversed(at):
+            value, d = divmod(value, len(alphabet))
+            chars[i] = alphabet[d].upper() if chars[i].isascii() and chars[i].isupper() else alphabet[d]
+    return "".join(chars)
 
 
-def _permute_class(text: list[str], radix: int, key: bytes, tweak: bytes, inverse: bool) -> None:
-    at = [i for i, ch in enumerate(text) if _class_of(ch) == radix]
-    if not at:
-        return
-    base = {10: "0", 26: "a"}.get(radix, chr(HAN_FIRST))
-    value = 0
-    for i in at:
-        value = value * radix + ord(text[i].lower()) - ord(base)
-    value = feistel(value, radix ** len(at), key, tweak + b"|%d|%d" % (radix, len(at)), inverse)
-    for i in reversed(at):
-        value, d = divmod(value, radix)
-        ch = chr(ord(base) + d)
-        text[i] = ch.upper() if text[i].isupper() else ch
-
-
-def pseudonym(value: str, pattern: str, key: str = DEFAULT_KEY, inverse: bool = False) -> str:
-    """The permuted value, in the format of the value. The inverse restores it up to accents."""
-    k = hashlib.sha256(key.encode()).digest()
-    plain = unicodedata.normalize("NFKD", value)
-    chars = [c for c in plain if not unicodedata.combining(c)]
-    tweak = pattern.encode()
-    text = "".join(chars)
-    m = re.fullmatch(r"(\d{6})(\d{8})(\d{3})([\dXx])", text)
-    if pattern == "id-number" and m:  # a birth date within a number stays a date
-        try:
-            day = date(int(m[2][:4]), int(m[2][4:6]), int(m[2][6:]))
-        except ValueError:
-            day = None
-        if day and 0 <= (day - FIRST_DAY).days < DAYS:
-            outer = list(m[1] + m[3])
-            _permute_class(outer, 10, k, tweak + b"cn", inverse)
-            return "".join(outer[:6]) + permute_date(day, k, inverse).strftime("%Y%m%d") + "".join(outer[6:]) + m[4]
-    for radix in (10, 26, HAN_COUNT):
-        _permute_class(chars, radix, k, tweak, inverse)
-    return "".join(chars)
+# --- numbers with check digits ----------------------------------------------------------------
+
+
+def _weighted(digits: str, weights: tuple[int, ...]) -> int:
+    return sum(int(d) * w for d, w in zip(digits, weights))
+
+
+def _check_cn(p: str) -> str:
+    return "10X98765432"[_weighted(p, (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)) % 11]
+
+
+def _check_es(p: str) -> str:
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(p.translate(str.maketrans("XYZ", "012"))) % 23]
+
+
+def _check_fr(p: str) -> str:
+    return f"{97 - int(p) % 97:02d}"
+
+
+def _check_nl(p: str) -> str | None:
+    r = _weighted(p, (9, 8, 7, 6, 5, 4, 3, 2)) % 11
+    return str(r) if r < 10 else None
+
+
+def _check_pt(p: str) -> str:
+    r = 11 - _weighted(p, (9, 8, 7, 6, 5, 4, 3, 2)) % 11
+    return str(r if r < 10 else 0)
+
+
+def _check_br(p: str) -> str:
+    for first in (10, 11):
+        r = _weighted(p, tuple(range(first, 1, -1))) * 10 % 11
+        p += str(r % 10)
+    return p[9:]
+
+
+def _check_de(p: str) -> str:
+    product = 10
+    for d in p:
+        total = (int(d) + product) % 10 or 10
+        product = total * 2 % 11
+    return str((11 - product) % 10)
+
+
+def _check_snils(p: str) -> str:
+    return f"{_weighted(p, (9, 8, 7, 6, 5, 4, 3, 2, 1)) % 101 % 100:02d}"
+
+
+def _check_inn10(p: str) -> str:
+    return str(_weighted(p, (2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10)
+
+
+def _check_inn12(p: str) -> str:
+    a = str(_weighted(p, (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10)
+    return a + str(_weighted(p + a, (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10)
+
+
+def _check_jp(p: str) -> str:
+    r = _weighted(p, (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2)) % 11
+    return str(0 if r <= 1 else 11 - r)
+
+
+def _check_luhn(p: str) -> str:
+    total = sum(sum(divmod(int(d) * 2, 10)) if k % 2 == 0 else int(d) for k, d in enumerate(reversed(p)))
+    return str(-total % 10)
+
+
+# Public numbering schemes, the form of their payload, and how the check characters follow from it.
+SCHEMES = {
+    "cn-resident": (r"\d{17}", _check_cn), "es-dni": (r"\d{8}", _check_es), "es-nie": (r"[XYZ]\d{7}", _check_es), "fr-nir": (r"[12]\d{12}", _check_fr),
+    "br-cpf": (r"\d{9}", _check_br), "ru-snils": (r"\d{9}", _check_snils), "de-tax": (r"[1-9]\d{9}", _check_de), "jp-number": (r"\d{11}", _check_jp),
+    "ru-inn-12": (r"\d{10}", _check_inn12), "ru-inn-10": (r"\d{9}", _check_inn10), "nl-bsn": (r"\d{8}", _check_nl), "pt-nif": (r"\d{8}", _check_pt), "luhn": (r"\d{8}|\d{15}", _check_luhn),
+}
+
+
+def _birth(payload: str) -> date | None:
+    try:
+        day = date(int(payload[6:10]), int(payload[10:12]), int(payload[12:14]))
+    except ValueError:
+        return None
+    return day if 0 <= (day - FIRST_DAY).days < DAYS else None
+
+
+def scheme_of(compact: str) -> str | None:
+    """The first scheme whose check a number without separators passes."""
+    if not compact.isascii():
+        return None
+    for name, (form, check) in SCHEMES.items():
+        for m in (re.match(rf"(?:{form})$", compact[:cut]) for cut in (len(compact) - 1, len(compact) - 2)):
+            if m and check(m[0]) == compact[m.end() :] and (name != "cn-resident" or _birth(m[0])):
+                return name
+    return None
+
+
+def permute_valid(compact: str, scheme: str, key: bytes, inverse: bool = False) -> str:
+    """Another number that the scheme holds valid: payload permuted, a birth date to a birth date, check characters anew."""
+    form, check = SCHEMES[scheme]
+    cut = next(c for c in (len(compact) - 1, len(compact) - 2) if c > 0 and re.fullmatch(form, compact[:c]) and check(compact[:c]) == compact[c:])
+    payload, tweak = compact[:cut], b"id|" + scheme.encode()
+    if scheme == "cn-resident":
+        day = permute_date(_birth(payload), key, inverse).strftime("%Y%m%d")
+        rest = permute(payload[:6] + payload[14:], key, tweak, inverse)
+        payload = rest[:6] + day + rest[6:]
+    else:
+        while True:  # walks on while the payload has no check digit or leaves the form
+            payload = permute(payload, key, tweak, inverse, [k for k, ch in enumerate(payload) if ch.isdigit()])
+            if re.fullmatch(form, payload) and check(payload) is not None:
+                break
+    return payload + check(payload)
 
 
 # --- fixed values: words that mark personal data ---------------------------------------------
@@ -134,7 +246,7 @@ PARTICLES = r"(?:(?:de[ ]la|de[ ]las|de[ ]los|van[ ]der|van[ ]den|von[ ]der|de|d
 # Words that follow a given name without being a surname, or stand in titles, places and methods.
 NOT_SURNAMES = frozenset(
     """street avenue road lane close blvd boulevard square dashboard dataset model method team layer norm descent momentum precision falls
-    brennick easthallow island river lake project protocol algorithm theorem score loss kernel chain index cluster server library release version
+    island river lake project protocol algorithm theorem score loss kernel chain index cluster server library release version
     monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december
     the this that these those and or but for with from into ship address call see read also commit ticket table figure section chapter""".split()
 )
@@ -157,6 +269,9 @@ SINGLE_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗
 ZH_BEFORE = r"(?:审阅人|审核人|作者|负责人|联系人|记录人|撰稿人|访谈人|受访人|编辑|姓名|采访|访谈|感谢|致谢|鸣谢|由|与|和|——|—)[：:\s]*"
 ZH_AFTER = r"(?=提供|审阅|审核|负责|编写|撰写|整理|记录|主持|不同意|认为|表示|指出|完成|采访|老师|先生|女士|博士|教授|同学|的|，|。|、|；|：|\s|[|<（(,.;]|$)"
 
+# Longest local part and domain that mail allows; an address has its parts within so many characters of its street word.
+LOCAL_MAX, DOMAIN_MAX, ADDRESS_MAX = 64, 255, 160
+
 # --- patterns --------------------------------------------------------------------------------
 
 _ATEXT = r"[A-Za-z0-9](?:[A-Za-z0-9._%+'-]*[A-Za-z0-9_+-])?"
@@ -170,7 +285,7 @@ EMAIL_MARKED = re.compile(rf"(?i){_ATEXT}(?:{_AT}{_LABELS}|@{_LABELS})", re.A)
 EMAIL_SPELLED = re.compile(rf"(?i)\b{_ATEXT} (?:at|\(at\)|\[at\]) [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+\b", re.A)
 
 _CODE = r"[A-Z]{0,2}\d?[A-Z]{0,2}(?:[ .\-/]?[A-Z0-9]){4,20}"
-ID_TAIL = re.compile(rf"(?i:s?(?:-?nummer|号码?|件号|番号)?)[ \t]*(?i:(?:is|no\.?|nr\.?|n°|nº|number|numéro|número|номер)[ \t]*){{0,2}}[:：#]?[ \t]*({_CODE})(?![A-Za-z0-9])")
+ID_TAIL = re.compile(rf"(?i:s?[а-яё]{{0,3}}(?:-?nummer|号码?|件号|番号)?)[ \t]*(?i:(?:is|no\.?|nr\.?|n°|nº|number|numéro|número|номер)[ \t]*){{0,2}}[:：#]?[ \t]*({_CODE})(?![A-Za-z0-9])")
 ID_BARE = re.compile(r"(?<![\w\-./])(?:\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)|[1-9]\d{5}(?:18|19|20)\d{2}(?:0\d|1[0-2])[0-3]\d\d{3}[\dXx](?!\w)|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D](?!\w)|\d{8}[A-HJ-NP-TV-Z](?!\w)|[XYZ]-?\d{7}-?[A-Z](?!\w))", re.A)
 
 DIGITS = re.compile(r"(?<![\w@#$€£+])(?<![\w][./:\-])\+?[(]?\+?\d(?:[\d ()./\-]{4,24})\d(?!\w)(?:[ ,]{0,2}(?:ext|x|Durchwahl|poste|ramal|доб|转|分机)\.? ?\d{1,6})?", re.A)
@@ -297,17 +412,17 @@ def _starts_word(text: str, at: int) -> bool:
     return not (a.isalnum() and not ("\u3040" <= a <= "\u9fff")) or "\u3040" <= b <= "\u9fff"
 
 
-def find_names(text: str, hits: dict) -> list[tuple[int, int]]:
+def find_names(text: str, hits: dict, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[int, int]]:
     spans = []
     for m in CAPITAL.finditer(text):
-        if _fold(m[0]) not in GIVEN_NAMES:
+        if _fold(m[0]) not in given:
             continue
         after = _DIRECT.match(text, m.end())
         if after and _is_surname(after[1]):
             spans.append((m.start(), after.end()))
             continue
         before = _BEFORE_COMMA.search(text, max(0, m.start() - 40), m.start())
-        if before and _is_surname(before[1]) and _fold(before[1]) not in GIVEN_NAMES and _likely_surname(text, before.start(1), m.end()):
+        if before and _is_surname(before[1]) and _fold(before[1]) not in given and _likely_surname(text, before.start(1), m.end()):
             spans.append((before.start(1), m.end()))
     for start, end in hits.get("name", ()):
         m = _CUED.match(text, end) if _starts_word(text, start) else None
@@ -322,7 +437,7 @@ def _likely_surname(text: str, start: int, end: int) -> bool:
     return bool(not head.strip() or _FREE_START.search(head) or _FREE_END.match(text, end))
 
 
-def find_zh_names(text: str, hits: dict) -> list[tuple[int, int]]:
+def find_zh_names(text: str, hits: dict, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[int, int]]:
     if not _HAN.search(text):
         return []
     spans = [m.span("name") for p in (ZH_CUED, ZH_CELL) for m in p.finditer(text)]
@@ -332,7 +447,7 @@ def find_zh_names(text: str, hits: dict) -> list[tuple[int, int]]:
     return spans
 
 
-def find_phones(text: str, hits: dict) -> list[tuple[int, int]]:
+def find_phones(text: str, hits: dict, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[int, int]]:
     spans = []
     for m in DIGITS.finditer(text):
         s, ext = m[0], EXTENSION.search(m[0])
@@ -352,7 +467,7 @@ def find_phones(text: str, hits: dict) -> list[tuple[int, int]]:
     return spans
 
 
-def find_ids(text: str, hits: dict) -> list[tuple[int, int]]:
+def find_ids(text: str, hits: dict, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[int, int]]:
     spans = []
     for start, end in hits.get("id", ()):
         m = ID_TAIL.match(text, end) if _starts_word(text, start) else None
@@ -362,25 +477,25 @@ def find_ids(text: str, hits: dict) -> list[tuple[int, int]]:
     return spans
 
 
-def find_emails(text: str, hits: dict) -> list[tuple[int, int]]:
+def find_emails(text: str, hits: dict, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[int, int]]:
     spans, at = [], text.find("@")
     while at >= 0:
-        local, domain = _LOCAL_END.search(text, max(0, at - 100), at), _DOMAIN_START.match(text, at)
+        local, domain = _LOCAL_END.search(text, max(0, at - LOCAL_MAX - 1), at), _DOMAIN_START.match(text, at)
         if local and domain:
             spans.append((local.start(), domain.end()))
         at = text.find("@", at + 1)
     for start, end in hits.get("mail", ()):
         for p in (EMAIL_MARKED, EMAIL_SPELLED):
-            spans += [m.span() for m in p.finditer(text, max(0, start - 70), min(len(text), end + 90))]
+            spans += [m.span() for m in p.finditer(text, max(0, start - LOCAL_MAX - 1), min(len(text), end + DOMAIN_MAX))]
     return spans
 
 
-def find_addresses(text: str, hits: dict) -> list[tuple[int, int]]:
+def find_addresses(text: str, hits: dict, given: frozenset[str] = GIVEN_NAMES) -> list[tuple[int, int]]:
     spans = []
     for k, (_, before, after, pattern) in enumerate(ADDRESSES):
         for start, end in hits.get(k, ()):
-            if (before is None or before.search(text, max(0, start - 60), start)) and (after is None or after.match(text, end)):
-                spans += [m.span() for m in pattern.finditer(text, max(0, start - 70), min(len(text), end + 110))]
+            if (before is None or before.search(text, max(0, start - ADDRESS_MAX), start)) and (after is None or after.match(text, end)):
+                spans += [m.span() for m in pattern.finditer(text, max(0, start - ADDRESS_MAX), min(len(text), end + ADDRESS_MAX))]
     return spans
 
 
@@ -395,7 +510,7 @@ _DIGIT = re.compile(r"\d")
 _HAN = re.compile("[\u4e00-\u9fff]")
 
 
-def find(text: str | None, patterns: tuple[str, ...] = tuple(FINDERS)) -> list[tuple[int, int, str, str]]:
+def find(text: str | None, patterns: tuple[str, ...] = tuple(FINDERS), given: frozenset[str] = GIVEN_NAMES) -> list[tuple[int, int, str, str]]:
     """(start, end, pattern, value) of all personal data of a text, in order and without overlap."""
     if not text:
         return []
@@ -405,7 +520,7 @@ def find(text: str | None, patterns: tuple[str, ...] = tuple(FINDERS)) -> list[t
     for name, finders in FINDERS.items():
         if name not in patterns or (name in ("id-number", "phone", "street-address") and not _DIGIT.search(plain)):
             continue
-        spans = sorted({s for f in finders for s in f(plain, hits)}, key=lambda s: (s[0], -s[1]))
+        spans = sorted({s for f in finders for s in f(plain, hits, given)}, key=lambda s: (s[0], -s[1]))
         taken, last = [], -1
         for a, b in spans:
             if a >= last:
@@ -453,30 +568,71 @@ def canonical(value: str, pattern: str) -> str:
     return " ".join(re.sub(r"[^\w'’\-]+", " ", v).lower().split())
 
 
-def link(value: str, pattern: str, key: str = DEFAULT_KEY) -> str:
-    """The pseudonym of the canonical value: equal for equal values."""
-    return pseudonym(canonical(value, pattern), pattern, key)
+def _secret(key: str) -> bytes:
+    if not key:
+        raise ValueError("a secret key is required")
+    return hashlib.sha256(key.encode()).digest()
+
+
+def link(value: str, pattern: str, key: str) -> str:
+    """The permuted canonical value: equal for equal values."""
+    plain, k = canonical(value, pattern), _secret(key)
+    scheme = scheme_of(plain) if pattern == "id-number" else None
+    return permute_valid(plain, scheme, k) if scheme else permute(plain, k, pattern.encode())
+
+
+def restore(linked: str, pattern: str, key: str, scheme: str | None = None) -> str:
+    """The canonical value of a link; scheme is that of its record."""
+    return permute_valid(linked, scheme, _secret(key), True) if scheme else permute(linked, _secret(key), pattern.encode(), True)
+
+
+# Words of a street address that say what its parts are.
+_ADDRESS_LABEL = re.compile(
+    r"(?i)(?<![^\W_])(?:Street|St|Avenue|Ave|Close|Lane|Ln|Road|Rd|Blvd|Boulevard|Drive|Dr|Court|Ct|Way|Terrace|Square|Place|Crescent|Row|Hill|Parkway|Gardens|Flat|Apt|Unit|Suite|Room|rue|chemin|allée|impasse|quai|route|Calle|Plaza|Avda|Avenida|Paseo|Rua|Praça|ул|улица|проспект|просп|переулок|пер|д|дом|кв|квартира)(?![^\W_])|大道|胡同|[路街巷弄号號室栋楼层]|单元|丁目"
+)
 
 
-def formatted(value: str, pattern: str, key: str = DEFAULT_KEY) -> str:
-    """The pseudonym in the format of the value; words that are no part of it, such as [at] or ext., stay."""
-    words = {"email": _MARKER, "phone": _EXTENSION_WORD}.get(pattern)
-    kept = words.findall(value) if words else []
-    if not kept:
-        return pseudonym(value, pattern, key)
-    parts = pseudonym(words.sub("\ue000", value), pattern, key).split("\ue000")
-    return "".join(x for pair in zip(parts, [*kept, ""]) for x in pair)
+def pseudonym(value: str, pattern: str, key: str) -> str:
+    """The permuted value in the format found: separators, accents aside, and labels stay."""
+    text = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
+    k = _secret(key)
+    where = [i for i, ch in enumerate(text) if ch.isdigit()] if pattern == "phone" else list(range(len(text)))
+    labels = {"email": _MARKER, "street-address": _ADDRESS_LABEL}.get(pattern)
+    if labels:
+        kept = {i for m in labels.finditer(text) for i in range(*m.span())}
+        where = [i for i in where if i not in kept]
+    if pattern == "id-number":
+        at = [i for i, ch in enumerate(text) if ch.isascii() and ch.isalnum()]
+        compact = "".join(text[i] for i in at).upper()
+        scheme = scheme_of(compact)
+        if scheme:
+            chars = list(text)
+            for i, ch in zip(at, permute_valid(compact, scheme, k)):
+                chars[i] = ch
+            return "".join(chars)
+    return permute(text, k, pattern.encode() + b"|form", where=where)
 
 
 _LINE_END = re.compile(r"\r\n|\r|\n")
 
 
-def matches(text: str | None, patterns: tuple[str, ...], key: str) -> list[dict]:
-    spans = find(text, patterns)
+def places(text: str | None, patterns: tuple[str, ...], given: frozenset[str]) -> list[dict]:
+    """Line and pattern of each match."""
+    spans = find(text, patterns, given)
     if not spans:
         return []
     ends = [m.end() for m in _LINE_END.finditer(text)]
-    return [{"line_number": bisect_right(ends, a) + 1, "pattern_name": name, "pseudonym": formatted(value, name, key), "link": link(value, name, key)} for a, _, name, value in spans]
+    return [{"line_number": bisect_right(ends, a) + 1, "pattern_name": name, "value": value} for a, _, name, value in spans]
+
+
+def matches(text: str | None, patterns: tuple[str, ...], key: str, given: frozenset[str] = GIVEN_NAMES) -> list[dict]:
+    """The record of each match; the value itself is not in it."""
+    out = []
+    for m in places(text, patterns, given):
+        value, name = m.pop("value"), m["pattern_name"]
+        scheme = scheme_of(canonical(value, name)) if name == "id-number" else None
+        out.append(m | {"scheme": scheme, "pseudonym": pseudonym(value, name, key), "link": link(value, name, key)})
+    return out
 
 
 def redact(text: str | None, placeholders: dict[str, str]) -> str | None:
@@ -491,27 +647,43 @@ def redact(text: str | None, placeholders: dict[str, str]) -> str | None:
     return "".join(parts) + text[at:]
 
 
-MATCHES = T.ArrayType(T.StructType([T.StructField("line_number", T.IntegerType()), T.StructField("pattern_name", T.StringType()), T.StructField("pseudonym", T.StringType()), T.StructField("link", T.StringType())]))
+PLACES = "array<struct<line_number:int,pattern_name:string>>"
+MATCHES = "array<struct<line_number:int,pattern_name:string,scheme:string,pseudonym:string,link:string>>"
 
 
-def _types(redact_types: DataFrame, bound: int = 1000) -> dict[str, str]:
-    """The type table, a fixed few rows; more than the bound is an error."""
-    rows = redact_types.select("pattern_name", "placeholder").dropna().distinct().limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"redact_types has more than {bound} rows")
+def _types(redact_types: DataFrame) -> dict[str, str]:
+    """The types of the table that there is a detector for: no more than those are read."""
+    known = redact_types.filter(F.col("pattern_name").isin(*FINDERS) & F.col("placeholder").isNotNull())
+    rows = known.groupBy("pattern_name").agg(F.min("placeholder").alias("placeholder")).collect()
     return {r.pattern_name: r.placeholder for r in rows}
 
 
-def find_personal_data(pages: DataFrame, redact_types: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """(rev_id, line_number, pattern_name, pseudonym, link): one row for each match of each body."""
+def _with_body(pages: DataFrame) -> DataFrame:
+    return spread(pages.filter(F.col("body").isNotNull() & (F.col("body") != "")).select("rev_id", "body"), "rev_id")
+
+
+def find_personal_data(pages: DataFrame, redact_types: DataFrame, given_names: frozenset[str] = GIVEN_NAMES) -> DataFrame:
+    """(rev_id, line_number, pattern_name): one row for each line of a body and each pattern that occurs in it. given_names are in lower case, without accents."""
+    patterns = tuple(_types(redact_types))
+
+    @F.pandas_udf(PLACES)
+    def found(body: pd.Series) -> pd.Series:
+        keys = ("line_number", "pattern_name")
+        return pd.Series([[dict(zip(keys, x)) for x in dict.fromkeys((m["line_number"], m["pattern_name"]) for m in places(b, patterns, given_names))] for b in body])
+
+    return _with_body(pages).select("rev_id", F.explode(found("body")).alias("m")).select("rev_id", "m.*")
+
+
+def personal_records(pages: DataFrame, redact_types: DataFrame, key: str, given_names: frozenset[str] = GIVEN_NAMES) -> DataFrame:
+    """(rev_id, line_number, pattern_name, scheme, pseudonym, link): one row for each match of each body. scheme names the numbering scheme that a number is valid in."""
     patterns = tuple(_types(redact_types))
+    _secret(key)
 
     @F.pandas_udf(MATCHES)
     def found(body: pd.Series) -> pd.Series:
-        return pd.Series([matches(b, patterns, key) for b in body])
+        return pd.Series([matches(b, patterns, key, given_names) for b in body])
 
-    bodies = spread(pages.filter(F.col("body").isNotNull() & (F.col("body") != "")).select("rev_id", "body"), "rev_id")
-    return bodies.select("rev_id", F.explode(found("body")).alias("m")).select("rev_id", "m.*")
+    return _with_body(pages).select("rev_id", F.explode(found("body")).alias("m")).select("rev_id", "m.*")
 
 
 def redact_bodies(pages: DataFrame, redact_types: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+import unicodedata
 from datetime import date
 
 import pytest
@@ -9,7 +11,7 @@ from pagewright.llm import redact as R
 FOUND = {
     "email": ["write to a.b+c@mail.example now", "x [at] lab [dot] org", "x (at) lab.org", "ｘ＠ｌａｂ．ｏｒｇ", "[m](mailto:q_r@dept.example.com)", "A@B.CO", "joe at lab dot org"],
     "phone": ["+1 (617) 555-0194", "+44 7700 900930", "(303) 555 0171", "555-0192 ext. 688", "01632 960956", "010-55554654", "100 0550 6778", "+1.303.555.0132", "900-00-76-31", "06.39.98.99.43", "01 99 00 38 73", "0049-40-66969-900", "0171/3920001", "(030) 23125 855", "+33 (0)1 99 00 65 55", "Call 5550123 now", "＋１ （２１２） ５５５－０１８３", "On-call line: (512) 555 0108"],
-    "id-number": ["SSN 966-56-4142", "954-02-9737", "social security number: 993 05 1050", "tax ID 945-74-0872", "passport no. X50922008", "National Insurance no. QQ 26 30 86 C", "写着身份证号 99920219980915266X。", "（误贴：护照号码 X76432331）", "NIE X-0056518-A", "DNI 00498224X", "Personalausweis Nr. L0X821293", "Steuer-ID 00 139 102 175", "Sozialversicherungsnummer 99 208463 Z 745", "pasaporte XX2541419", "n° de sécurité sociale 3 52 99 99 489 534", "passeport n° 00XX36578"],
+    "id-number": ["SSN 966-56-4142", "954-02-9737", "social security number: 993 05 1050", "tax ID 945-74-0872", "passport no. X50922008", "National Insurance no. QQ 26 30 86 C", "写着身份证号 99920219980915266X。", "（误贴：护照号码 X76432331）", "NIE X-0056518-A", "DNI 00498224X", "Personalausweis Nr. L0X821293", "Steuer-ID 00 139 102 175", "Sozialversicherungsnummer 99 208463 Z 745", "pasaporte XX2541419", "паспорта 4509 123456", "n° de sécurité sociale 3 52 99 99 489 534", "passeport n° 00XX36578"],
     "street-address": ["19 Old Quarry Lane, Apt 36, Norwick Falls 00036", "Flat 6, 25 Larkmoor Street, Easthallow", "Zwölfeichenallee 95, 00719 Neu-Brambach am See", "Am Alten Kornspeicher 231 b, 00683 Neu-Brambach am See", "157 bis chemin de la Combe Noire, 00776 Valmont-sur-Orle", "Calle del Olmo Seco, 182, 5ºC, 00168 Puerto Almena", "Avda. de las Tres Norias, 23, 1ºC, 00640 Villarrobla", "寄到宁沅市旧码头路23号875室。", "Keizersgracht 12", "ул. Садовая, д. 5"],
     "person-name": ["Reviewed by Ines Pellanek in spring.", "> — Oskelhollow, Greta", "Helene OSKELETTE wrote", "thanks to Paula de la Quarez for", "Dr. Amir M. Quistette", "Elif O'Varnell", "Ines Ström-Talvik", "Zoé Brandette", "Zoé Brandette", "感谢欧阳砚迟提供的记录", "| 澹台屿宁 |", "审阅人：王小明", "感谢Ruben Havrinette提供的记录", "本节由Marlette, Paula撰写。", "ran. Kestozari, Bruno disagreed", "Interview with Qorvan Teslimund."],
 }
@@ -53,25 +55,76 @@ def test_small_permutation_is_whole():
 
 @given(st.from_regex(r"[A-Za-z0-9 ()+.\-]{1,40}", fullmatch=True))
 def test_pseudonyms_keep_the_format(value):
-    p = R.pseudonym(value, "phone", "key")
-    assert [c.isdigit() for c in p] == [c.isdigit() for c in value] and [c.isupper() for c in p] == [c.isupper() for c in value]
-    assert R.pseudonym(p, "phone", "key", inverse=True) == value
+    p, q = R.pseudonym(value, "phone", "key"), R.pseudonym(value, "person-name", "key")
+    assert [c if not c.isdigit() else "0" for c in p] == [c if not c.isdigit() else "0" for c in value]
+    assert [(c.isdigit(), c.isupper(), c.isalnum() or c) for c in q] == [(c.isdigit(), c.isupper(), c.isalnum() or c) for c in value]
+
+
+def test_every_letter_and_digit_has_an_alphabet():
+    places, alphabets = R._alphabets()
+    assert min(map(len, alphabets)) >= 8 and sum(map(len, alphabets)) == len(places)
+    for code in range(0x110000):
+        for ch in unicodedata.normalize("NFKD", chr(code)):
+            if unicodedata.category(ch)[0] in "LN" and unicodedata.category(ch) != "Co":
+                assert (ch.lower() if ch.isascii() else ch) in places, hex(code)
+
+
+@given(st.text(st.characters(categories=["L", "N"]), min_size=6, max_size=30))
+def test_no_cleartext_in_any_script(value):
+    plain = R.canonical(value, "person-name")
+    hidden = R.link(value, "person-name", "key")
+    assert R.restore(hidden, "person-name", "key") == plain
+    places = R._alphabets()[0]
+    groups = {}
+    for a, b in zip(plain, hidden):
+        if a in places:
+            assert places[a][0] == places[b][0]
+            groups.setdefault(places[a][0], []).append((a, b))
+    # a long stretch of one alphabet never stays as it is
+    assert all(any(a != b for a, b in g) for g in groups.values() if len(g) >= 6)
+
+
+def test_cleartext_cases():
+    for value, pattern in (("Иван Петров", "person-name"), ("Łukasz Øre", "person-name"), ("やまだ太郎", "person-name"), ("김철수", "person-name"), ("Νίκος Παππάς", "person-name")):
+        words = set(R.canonical(value, pattern).split())
+        assert not words & set(R.link(value, pattern, "k").split()) and not set(value.split()) & set(R.pseudonym(value, pattern, "k").split())
+    street = R.pseudonym("ул. Ленина, д. 5 кв. 3", "street-address", "k")
+    assert "Ленина" not in street and street.startswith("ул. ") and ", д. " in street and " кв. " in street
+    assert re.fullmatch(r"\d{3} \d{4} ext \d\d", R.pseudonym("555 0199 ext 12", "phone", "k"))
+
+
+VALID = {"cn-resident": "11010519491231002X", "es-dni": "12345678Z", "es-nie": "X1234567L", "fr-nir": "255081416802538", "br-cpf": "52998224725", "jp-number": "123456789018", "ru-snils": "11223344595", "ru-inn-10": "7707083893", "ru-inn-12": "500100732259", "de-tax": "86095742719", "luhn": "4111111111111111", "nl-bsn": "111222333"}
+
+
+def test_validated_numbers_stay_valid():
+    key = R._secret("k")
+    for scheme, number in VALID.items():
+        assert R.scheme_of(number) == scheme, scheme
+        other = R.permute_valid(number, scheme, key)
+        form, check = R.SCHEMES[scheme]
+        assert other != number and len(other) == len(number) and any(re.fullmatch(form, other[:c]) and check(other[:c]) == other[c:] for c in (len(other) - 1, len(other) - 2))
+        assert R.permute_valid(other, scheme, key, inverse=True) == number
+    assert R.scheme_of("110105194912310021") is None and R.scheme_of("４１１１") is None and R.scheme_of("") is None
+    p = R.pseudonym("110105 19491231 002X", "id-number", "k")
+    date(int(p[7:11]), int(p[11:13]), int(p[13:15]))
+    assert R._check_cn(p.replace(" ", "")[:17]) == p[-1]
 
 
 def test_equal_values_stay_linked():
     digits = lambda s: "".join(c for c in s if c.isdigit())
     a, b = (R.pseudonym(v, "phone", "k") for v in ("+1 (617) 555-0194", "+1.617.555.0194"))
     assert digits(a) == digits(b) != "16175550194" and R.pseudonym("+1 (617) 555-0194", "phone", "other") != a
-    p = R.pseudonym("99920219980915266X", "id-number", "k")
-    date(int(p[6:10]), int(p[10:12]), int(p[12:14]))
-    assert R.pseudonym(p, "id-number", "k", inverse=True) == "99920219980915266X"
     assert R.permute_date(R.permute_date(date(2024, 2, 29), b"k" * 16), b"k" * 16, inverse=True) == date(2024, 2, 29)
+    with pytest.raises(ValueError):
+        R.link("x", "phone", "")
 
 
 def test_operator(spark):
     pages = spark.createDataFrame([(1, "a@b.co and a@b.co\nx", "m"), (2, None, "m"), (3, "", "m"), (4, "plain", "m"), (4, "plain", "m")], "rev_id long, body string, m string")
     types = spark.createDataFrame([("email", "[E]"), ("email", "[E]"), ("unheard-of", "[U]"), (None, None)], "pattern_name string, placeholder string")
-    assert [(r.rev_id, r.line_number, r.pattern_name) for r in R.find_personal_data(pages, types).collect()] == [(1, 1, "email")] * 2
+    assert [tuple(r) for r in R.find_personal_data(pages, types).collect()] == [(1, 1, "email")]
+    records = R.personal_records(pages, types, "k").collect()
+    assert [(r.rev_id, r.line_number, r.pattern_name, r.scheme) for r in records] == [(1, 1, "email", None)] * 2 and records[0].link == records[1].link != "a@b.co"
     assert {(r.rev_id, r.body) for r in R.redact_bodies(pages, types).collect()} == {(1, "[E] and [E]\nx"), (2, None), (3, ""), (4, "plain")}
     assert R.find_personal_data(pages.limit(0), types.limit(0)).count() == 0
 
