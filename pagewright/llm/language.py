@@ -8,7 +8,8 @@ the sentences of a document the cheapest path with a price on each change of
 language gives its segments.
 
 Prose is what stays without front matter, code, tables, headings, links'
-targets and short quoted phrases; items of lists and quoted blocks are prose.
+targets and short quoted phrases (up to 40 characters without the end of a
+sentence, 16 of Chinese or Japanese); items of lists and quoted blocks are prose.
 
 Defined results: a null or empty text, or one without prose, has no segment and
 a null language; rows without doc_id take no part, and rows that repeat a doc_id
@@ -21,10 +22,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.session import spread
@@ -44,8 +46,8 @@ NAMES = {
 LANGUAGES = tuple(sorted(NAMES))
 _BY_NAME = {name: lang for lang, names in NAMES.items() for name in names.split()}
 SWITCH = 3.0  # phrases that a change of language costs
-LONGEST = 512  # a longer sentence is parsed in stretches of this many characters
-SAMPLE_CHARS = 400_000  # documented bound of labelled text for each language
+SAMPLE_CHARS = 200_000  # documented bound of labelled text for each language
+FEW = 12  # sentences; so few long ones are parsed one by one
 
 
 def label_language(label: str | None) -> str | None:
@@ -61,14 +63,13 @@ def label_language(label: str | None) -> str | None:
 
 _FENCE = re.compile(r" {0,3}(```+|~~~+)")
 _TABLE = re.compile(r"\s*\||.*\|.*\|")
+_YAML = re.compile(r"\s*$|\s*#|\s+\S|-\s|[^\s:][^:]*:(?:\s|$)")
 _RULE = re.compile(r"\s*(?:[-=*_]\s*){3,}$")
 _MARK = re.compile(r"\s*(?:>\s*)*(?:(?:[-*+•]|\d{1,3}[.)])\s+)?(?:\[[ xX]\]\s+)?")
 _ITEM = re.compile(r"\s*(?:>\s*)*(?:[-*+•]|\d{1,3}[.)])\s+")
 _INLINE = re.compile(r"`[^`]*`|!?\[\[[^\]]*\]\]|!\[[^\]]*\]\([^)]*\)|\]\([^)]*\)|https?://\S+|\S+@\S+|<[^<>]{1,80}>|[*_~\[\]]+")
 _QUOTED = re.compile(r"“[^”.!?。！？]{1,40}”|«[^».!?]{1,40}»|„[^“.!?]{1,40}“|\"[^\".!?。！？]{1,40}\"|「[^」。]{1,16}」|『[^』。]{1,16}』|“[^”。]{1,16}”")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[.!?…][\"”’»)])\s+|(?<=[。！？])[”’」』）]*\s*")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_WIDE = re.compile("[぀-ヿ㐀-鿿]")
 
 
 def prose(text: str) -> list[str]:
@@ -76,10 +77,12 @@ def prose(text: str) -> list[str]:
     lines = text.split("\n") if "\r" not in text else re.split(r"\r\n|\r|\n", text)
     start = 0
     if lines and lines[0].strip().lstrip("﻿") == "---":
-        for k in range(1, min(len(lines), 200)):
+        for k in range(1, len(lines)):
             if lines[k].strip() in ("---", "..."):
                 start = k + 1
                 break
+            if not _YAML.match(lines[k]):
+                break
     out: list[str] = []
     para: list[str] = []
     fence, quoted = None, False
@@ -119,24 +122,61 @@ def prose(text: str) -> list[str]:
     return out
 
 
-def sentences(text: str) -> list[str]:
-    """Whole sentences of the prose of a text; single words are none."""
+def pieces(text: str) -> list[str]:
+    """The prose of a text cut at the ends of sentences."""
     out = []
     for p in prose(text):
         if "`" in p or "[" in p or "*" in p or "_" in p or "<" in p or "@" in p or "://" in p or "~" in p:
             p = _INLINE.sub(" ", p)
-        if "“" in p or '"' in p or "«" in p or "「" in p or "『" in p:
+        if "“" in p or '"' in p or "«" in p or "「" in p or "『" in p or "„" in p:
             p = _QUOTED.sub(" ", p)
-        for s in _SPLIT.split(p):
-            if len(s) < 4:
-                continue
-            words = _LETTERS.findall(s)
-            wide = len(_WIDE.findall(s))
-            if wide >= 5 or len(words) >= 3 and sum(map(len, words)) >= 10:
-                out.append(s)
+        out += [s for s in _SPLIT.split(p) if len(s) >= 4]
     return out
 
 
+SEP = "\ue001"
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Of each BMP character, whether it is a letter."""
+    return np.array([chr(c).isalnum() and not chr(c).isdecimal() for c in range(0x10000)])
+
+
+class Batch:
+    """Pieces of text as one array of lower-case letters, one space for all that lies between words and one at the end of a piece."""
+
+    def __init__(self, texts: list[str]):
+        joined = SEP.join(t.replace(SEP, " ") if SEP in t else t for t in texts) + SEP
+        if not joined.isascii() and not unicodedata.is_normalized("NFKC", joined):
+            joined = unicodedata.normalize("NFKC", joined)
+        raw = np.frombuffer(joined.lower().encode("utf-32-le", "replace"), np.uint32)
+        letter = _letters()[np.minimum(raw, 0xFFFF)] & (raw < 0x20000) | (raw >= 0x20000) & (raw < 0x32400)
+        ends = raw == ord(SEP)
+        after = np.concatenate(([False], letter[:-1]))
+        kept = letter | after
+        piece = (np.cumsum(ends) - ends)[kept]
+        self.text = np.where(letter, np.minimum(raw, 0xFFFF), 32)[kept]
+        n = len(texts)
+        self.size = np.bincount(piece, minlength=n)
+        self.begin = np.cumsum(self.size) - self.size
+        self.words = np.bincount(piece[self.text == 32], minlength=n)
+        wide = (self.text >= 0x3040) & (self.text < 0xA000)
+        self.wide = np.bincount(piece[wide], minlength=n)
+        self.cyrillic = np.bincount(piece[(self.text >= 0x400) & (self.text < 0x530)], minlength=n)
+        self.latin = np.bincount(piece[(self.text >= 0x41) & (self.text < 0x250)], minlength=n)
+
+    def whole(self) -> np.ndarray:
+        """Of each piece, whether it is a sentence: five wide characters, or three words with ten letters."""
+        return (self.wide >= 5) | (self.words >= 3) & (self.size - self.words >= 10)
+
+
+def sentences(text: str) -> list[str]:
+    """Whole sentences of the prose of a text; single words are none."""
+    some = pieces(text)
+    return [s for s, ok in zip(some, Batch(some).whole()) if ok] if some else []
+
+
 # --- model ------------------------------------------------------------------------------------
 
 
@@ -170,84 +210,101 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def _plain(text: str) -> str:
-    """Lower case, one space for everything that is neither letter nor mark."""
-    return re.sub(r"[\W\d_]+", " ", unicodedata.normalize("NFKC", text).lower()).strip()
+class DoubleArray:
+    """Transitions of an automaton in two arrays: that of state s over code c lies at base[s] + c if owner there is s."""
+
+    def __init__(self, moves: list[dict[int, int]], width: int):
+        size = sum(len(m) for m in moves) + 2 * width + 2
+        self.base, owner, target = np.zeros(len(moves), np.int32), [-1] * size, [0] * size
+        low, self.last = width + 1, 0  # places from width + 1 to low are taken, none beyond last
+        roomy = low  # before it, states of several transitions seldom find room
+        # the states with most transitions first, while there is room for them
+        for s in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+            codes = sorted(moves[s])
+            if not codes:
+                continue
+            while owner[low] >= 0:
+                low += 1
+            at, tries = (low if len(codes) == 1 else max(low, roomy)) - codes[0], 0
+            while any(owner[at + c] >= 0 for c in codes):
+                at, tries = at + 1, tries + 1
+                if tries > 32:
+                    roomy, tries = max(roomy, at), 0
+                if at + width >= len(owner):
+                    owner += [-1] * len(owner)
+                    target += [0] * len(target)
+            if at + 2 * width >= len(owner):
+                owner += [-1] * len(owner)
+                target += [0] * len(target)
+            self.base[s] = at
+            for c in codes:
+                owner[at + c], target[at + c] = s, moves[s][c]
+            self.last = max(self.last, at + codes[-1])
+        used = self.last + width + 2
+        self.owner, self.target = np.array(owner[:used], np.int32), np.array(target[:used], np.int32)
+        self.owner = np.concatenate((self.owner, np.full(max(0, int(self.base.max(initial=0)) + width + 2 - used), -1, np.int32)))
+        self.target = np.concatenate((self.target, np.zeros(len(self.owner) - len(self.target), np.int32)))
+        self.root = np.array([moves[0].get(c, 0) for c in range(width + 1)], np.int32)
+
+    def parse(self, coded: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Phrases of each stretch of codes; stretches come longest first."""
+        state, count = np.zeros(len(begin), np.int32), np.ones(len(begin), np.int64)
+        steps = int(size[min(FEW, len(size) - 1)]) if len(size) > FEW else 0
+        active = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")
+        for t, a in enumerate(active.tolist()):
+            c = coded[begin[:a] + t]
+            at = self.base[state[:a]] + c
+            hit = self.owner[at] == state[:a]
+            count[:a] += ~hit
+            state[:a] = np.where(hit, self.target[at], self.root[c])
+        base, owner, target, root = self.base, self.owner, self.target, self.root
+        for k in range(len(size)):
+            if size[k] <= steps:
+                break
+            s, n = int(state[k]), 0
+            for c in coded[begin[k] + steps : begin[k] + size[k]].tolist():
+                at = base.item(s) + c
+                if owner.item(at) == s:
+                    s = target.item(at)
+                else:
+                    s, n = root.item(c), n + 1
+            count[k] += n
+        return count
 
 
 class Model:
-    """Dense transition tables, one for each language."""
+    """An automaton for each language."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        letters = sorted({c for texts in samples.values() for t in texts for c in _plain(t)} | {" "})
-        self.codes = np.zeros(0x10000, np.int32)
-        for k, c in enumerate(letters):
-            if ord(c) < 0x10000:
-                self.codes[ord(c)] = k + 1
-        self.tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.tables: dict[str, tuple[np.ndarray, DoubleArray]] = {}
         for lang in LANGUAGES:
-            texts = [_plain(t) for t in samples.get(lang, []) if t]
+            texts = [t for t in samples.get(lang, []) if t]
             if not texts:
                 continue
-            local = {c: k + 1 for k, c in enumerate(sorted({c for t in texts for c in t} | {" "}))}
+            b = Batch(texts)
+            letters = np.unique(np.append(b.text, 32))
+            into = np.zeros(0x10000, np.int32)  # code of a character, 0 if the samples lack it
+            into[letters] = np.arange(1, len(letters) + 1)
             seq: list[int] = []
-            for k, t in enumerate(texts):
-                seq += [local[" "], *(local[c] for c in t), local[" "], -1 - k]  # a different end mark for each, so no match crosses
-            moves = suffix_automaton(seq)
-            table = np.full((len(moves), len(local) + 1), -1, np.int32)
-            for s, m in enumerate(moves):
-                for c, target in m.items():
-                    if c > 0:
-                        table[s, c] = target
-            into = np.zeros(len(letters) + 1, np.int32)
-            for k, c in enumerate(letters):
-                into[k + 1] = local.get(c, 0)
-            self.tables[lang] = (into, table)
+            for k, (at, n) in enumerate(zip(b.begin.tolist(), b.size.tolist())):
+                seq += [int(into[32]), *into[b.text[at : at + n]].tolist(), -1 - k]  # a different end mark for each, so no match crosses
+            moves = [{c: t for c, t in m.items() if c > 0} for m in suffix_automaton(seq)]
+            self.tables[lang] = (into, DoubleArray(moves, len(letters)))
         self.langs = tuple(self.tables)
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, texts: list[str] | Batch) -> tuple[np.ndarray, np.ndarray]:
         """(sentences x languages) phrases of the cross-parse, and the length of each sentence in characters."""
-        plain = [_plain(t) + " " for t in texts]
-        owner, pieces = [], []
-        for k, p in enumerate(plain):
-            for at in range(0, len(p), LONGEST):
-                owner.append(k)
-                pieces.append(p[at : at + LONGEST])
-        size = np.array([len(p) for p in pieces])
-        order = np.argsort(-size, kind="stable")
-        longest = int(size.max())
-        flat = np.minimum(np.frombuffer("".join(pieces[o] for o in order).encode("utf-32-le", "replace"), np.uint32), 0xFFFF)
-        size = size[order]
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        coded = self.codes[flat]
-        wide, cyrillic, latin = ((flat >= 0x3040) & (flat < 0xA000)), ((flat >= 0x400) & (flat < 0x530)), ((flat >= 0x41) & (flat < 0x250))
-        share = {n: np.add.reduceat(x.astype(np.int64), begin) for n, x in (("wide", wide), ("cyrillic", cyrillic), ("latin", latin))}
-        active = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
-        counts = np.zeros((len(texts), len(self.langs)))
+        b = texts if isinstance(texts, Batch) else Batch(texts)
+        order = np.argsort(-b.size, kind="stable")
+        counts = np.zeros((len(b.size), len(self.langs)))
         for k, lang in enumerate(self.langs):
-            into, table = self.tables[lang]
-            script = "wide" if lang in ("zh", "ja") else "cyrillic" if lang == "ru" else "latin"
-            some = share[script] > 0
-            found = size.astype(np.float64)  # no letter of the script: each character is a phrase
-            rows = np.flatnonzero(some)
+            into, automaton = self.tables[lang]
+            script = b.wide if lang in ("zh", "ja") else b.cyrillic if lang == "ru" else b.latin
+            counts[:, k] = b.size  # no letter of the script: each character is a phrase
+            rows = order[(script > 0)[order]]
             if len(rows):
-                found[rows] = self._parse(into[coded], table, begin[rows], size[rows])
-            np.add.at(counts[:, k], np.array(owner)[order], found)
-        return counts, np.array([len(p) for p in plain])
-
-    @staticmethod
-    def _parse(coded: np.ndarray, table: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        state, count = np.zeros(len(begin), np.int32), np.ones(len(begin))
-        root, width = np.maximum(table[0], 0), table.shape[1]
-        flat = table.ravel()
-        active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
-        for t, a in enumerate(active.tolist()):
-            c = coded[begin[:a] + t]
-            nxt = flat[state[:a] * width + c]
-            miss = nxt < 0
-            count[:a] += miss
-            state[:a] = np.where(miss, root[c], nxt)
-        return count
+                counts[rows, k] = automaton.parse(into[b.text], b.begin[rows], b.size[rows])
+        return counts, b.size
 
 
 def path(costs: np.ndarray, switch: float = SWITCH) -> list[int]:
@@ -294,17 +351,20 @@ def _segmenter(model):
 
 def segments(model: Model, ids: list[int], texts: list[str | None]) -> list[tuple]:
     """Runs of successive sentences of one language, for each text."""
-    found = [sentences(t) if t else [] for t in texts]
+    found = [pieces(t) if t else [] for t in texts]
     flat = [s for x in found for s in x]
     if not flat or not model.langs:
         return []
-    counts, lengths = model.phrases(flat)
+    batch = Batch(flat)
+    counts, lengths = model.phrases(batch)
+    whole = batch.whole()
     out, at = [], 0
     for key, own in zip(ids, found):
-        if not own:
-            continue
-        costs, chars = counts[at : at + len(own)], lengths[at : at + len(own)]
+        here = np.flatnonzero(whole[at : at + len(own)]) + at
         at += len(own)
+        if not len(here):
+            continue
+        costs, chars = counts[here], lengths[here]
         langs, no, lo = path(costs), 0, 0
         while lo < len(langs):
             hi = lo
@@ -317,16 +377,14 @@ def segments(model: Model, ids: list[int], texts: list[str | None]) -> list[tupl
 
 
 def fit(samples: DataFrame) -> Model:
-    """Model from labelled snippets, at most SAMPLE_CHARS of each language, in the order of their ids."""
-    rows = samples.filter(F.col("text").isNotNull()).select("sample_id", "lang", "text")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if total > SAMPLE_CHARS * len(LANGUAGES):
-        rows = rows.orderBy(F.xxhash64("sample_id")).limit(20_000)
+    """Model from labelled snippets: of a language with more than SAMPLE_CHARS, a share by hash of that size; all of the others."""
+    rows = samples.filter(F.col("text").isNotNull()).select("sample_id", "text", _named(F.col("lang")).alias("lang")).filter(F.col("lang").isNotNull())
+    size = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))  # a row for each of nine languages
+    share = F.lit(SAMPLE_CHARS) / F.col("chars") * (1 << 30)
+    kept = rows.join(F.broadcast(size), "lang").filter(F.pmod(F.xxhash64("sample_id", "text"), F.lit(1 << 30)) <= share)
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.sample_id is None, r.sample_id)):
-        lang = label_language(r.lang)
-        if lang and sum(map(len, texts.get(lang, []))) < SAMPLE_CHARS:
-            texts.setdefault(lang, []).append(r.text)
+    for r in sorted(kept.select("sample_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect(), key=lambda r: (r.sample_id is None, r.sample_id, r.text)):
+        texts.setdefault(r.lang, []).append(r.text)
     return Model(texts)
 
 
@@ -337,11 +395,11 @@ def language_segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
     return docs.mapInArrow(_segmenter(model), SEGMENTS)
 
 
-def _labels(documents: DataFrame) -> DataFrame:
-    """Labels resolved once for each distinct spelling of a bounded list, natively."""
-    first = F.split(F.trim(F.lower("lang")), r"[-_ .,;:/()\[\]]+")
+def _named(label: Column) -> Column:
+    """The language that a label names, natively; null if it names none."""
+    first = F.split(F.trim(F.lower(label)), r"[-_ .,;:/()\[\]]+")
     names = F.create_map(*[F.lit(x) for pair in _BY_NAME.items() for x in pair])
-    return documents.select("doc_id", F.try_element_at(names, F.try_element_at(F.filter(first, lambda x: x != ""), F.lit(1))).alias("label_lang"))
+    return F.try_element_at(names, F.try_element_at(F.filter(first, lambda x: x != ""), F.lit(1)))
 
 
 def document_languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
@@ -356,7 +414,7 @@ def document_languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
     per = seg.groupBy("doc_id", "lang").agg(F.sum(weight).alias("w"), F.max("n_sentences").alias("longest"), F.max("n_all").alias("n_all"), F.max("confidence").alias("confidence"))
     whole = (F.col("longest") >= 2) | (F.col("n_all") == 1)
     doc = per.groupBy("doc_id").agg(F.max_by(F.struct("lang", "confidence"), F.struct(F.col("w"), F.col("lang"))).alias("m"), F.array_sort(F.collect_set(F.when(whole, F.col("lang")))).alias("runs"))
-    out = _labels(documents).join(doc, "doc_id", "left")
+    out = documents.select("doc_id", _named(F.col("lang")).alias("label_lang")).join(doc, "doc_id", "left")
     return out.select("doc_id", F.col("m.lang").alias("lang"), F.col("m.confidence").alias("confidence"), "label_lang", F.coalesce(F.col("label_lang") == F.col("m.lang"), F.lit(False)).alias("label_ok"), "runs")
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from pagewright.llm import language as G
@@ -79,6 +81,36 @@ def test_operator(spark, data):
     assert G.language_cases(df.limit(0), samples).count() == 0 and G.language_cases(df, samples.limit(0)).count() == 0
 
 
+def test_double_array_is_the_automaton():
+    import numpy as np
+
+    r = random.Random(2)
+    text = [r.choice([1, 2, 3, 40, 41, 90]) for _ in range(1500)]
+    moves = G.suffix_automaton(text)
+    d = G.DoubleArray(moves, 90)
+    for s, m in enumerate(moves):
+        for c in range(91):
+            at = d.base[s] + c
+            assert (int(d.target[at]) if d.owner[at] == s else -1) == m.get(c, -1)
+    assert len(d.owner) < 2 * sum(map(len, moves)) + 400
+    # long stretches, parsed one by one, and short ones together
+    parts = sorted([[r.choice([0, 1, 2, 3, 40]) for _ in range(n)] for n in [3000, 900, *[20] * 30]], key=len, reverse=True)
+    size = np.array([len(p) for p in parts])
+    got = d.parse(np.array(sum(parts, [])), np.cumsum(size) - size, size)
+    for p, n in zip(parts, got.tolist()):
+        s, want = 0, 1
+        for c in p:
+            nxt = moves[s].get(c, -1)
+            s, want = (nxt, want) if nxt >= 0 else (moves[0].get(c, 0), want + 1)
+        assert n == want
+
+
+def test_front_matter_of_any_length():
+    head = "---\n" + "".join(f"key{k}: a value of some words here\n" for k in range(900)) + "---\n"
+    assert G.sentences(head + "The one sentence of prose.") == ["The one sentence of prose."]
+    assert len(G.sentences("---\nThis is a rule and not front matter.\n\n---\n")) == 1
+
+
 @pytest.mark.parametrize("text", ["x" * 100_000, "。" * 5000, "a. " * 3000])
 def test_odd_texts(text):
     m = G.Model({"en": ["the cat sat"], "zh": ["中文句子"]})
