@@ -1,11 +1,13 @@
 """Splitting oversized texts at natural boundaries.
 
-Candidate cuts lie at paragraph, heading, line, sentence, clause and word ends,
-each with a penalty; code fences and tables are cut last. Dynamic programming
-over the candidates minimises the sum of cut penalties and of squared
-imbalance of the pieces, subject to the maximum length and the overlap. Finer
-candidates are added only inside stretches that coarser ones cannot cut, so a
-text of n characters has about n / 80 of them.
+Boundaries are the ends of paragraphs, headings, lines, sentences, clauses and
+words, each with a penalty; those within code fences and tables cost more. A
+stretch without a boundary that is longer than a piece may add can be cut at any
+grapheme cluster. Dynamic programming over all boundary positions minimises the
+sum of cut penalties and of squared imbalance of the pieces, subject to the
+maximum length and the overlap. Finer boundaries join in only while they could
+still be part of a better solution: one that holds a cut of a class costs at least
+its penalty, so a minimum below that over the coarser ones is the minimum over all.
 
 Defined results: a null text gives no piece, an empty text one empty piece. The
 limit is in code points. A limit that is missing, null or below 1 means 4000, a
@@ -66,57 +68,121 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
+_CROSSED = re.compile("\r(?=\n)|\u200d(?=.)|[\U0001f1e6-\U0001f1ff](?=[\U0001f1e6-\U0001f1ff])", re.S)
+
+
+def _unsafe(text: str) -> np.ndarray:
+    """Sorted places that lie within a grapheme cluster."""
+    if text.isascii() and "\r\n" not in text:
+        return np.zeros(0, np.int64)
+    return np.unique(np.array([m.start() for m in _CONTINUES.finditer(text)] + [m.end() for m in _CROSSED.finditer(text)], np.int64))
+
+
 def _safe(text: str, at: int) -> bool:
     """Whether no grapheme cluster crosses this place."""
-    if at <= 0 or at >= len(text):
-        return True
-    a, b = text[at - 1], text[at]
-    if a == "\r" and b == "\n":
-        return False
-    if b.isascii() and a.isascii():
-        return True
-    return not (_CONTINUES.match(b) or a == "\u200d" or ("\U0001f1e6" <= a <= "\U0001f1ff" and "\U0001f1e6" <= b <= "\U0001f1ff"))
-
-
-def candidates(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted cut places with penalties, from 0 to the end, no two further apart than step."""
-    n, best = len(text), {}
-    for m in _LINES.finditer(text):
-        s = m.group()
-        best[m.end()] = PARAGRAPH if len(s) > 2 or s in ("\n\n", "\r\r") else LINE
-    for m in _SENTENCES.finditer(text):
-        best.setdefault(m.end(), SENTENCE)
-    for start, end in _blocks(text):
-        for at in list(best) if end - start > 2000 else range(start + 1, end):
-            if start < at < end and at in best:
-                best[at] += IN_BLOCK
-    best.pop(0, None)
-    best.pop(n, None)
-    coarse = [0, *sorted(best), n]
-    # where even coarse cuts leave a stretch that is long for the limit, finer ones join in
-    for pattern, penalty, gap in ((_CLAUSES, CLAUSE, step // 2), (_WORDS, WORD, (3 * step) // 4)):
-        added = False
-        for a, b in zip(coarse, coarse[1:]):
-            if b - a > max(gap, 1):
-                for m in pattern.finditer(text, a, b):
-                    if a < m.end() < b and m.end() not in best and _safe(text, m.end()):
-                        best[m.end()] = penalty
-                        added = True
-        if added:
-            coarse = [0, *sorted(best), n]
-    for a, b in zip(coarse, coarse[1:]):
-        if b - a > step:  # a stretch without any boundary
-            at, every = a, max(1, step // 4)
-            while b - at > step:
-                stop = at + step
-                nxt = at + every if at + every < b else stop
-                place = next((p for p in range(nxt, max(at, nxt - 64), -1) if _safe(text, p)), None)
-                if place is None:
-                    place = next((p for p in range(nxt + 1, stop + 1) if _safe(text, p)), None)
-                best[place or stop] = GRAPHEME if place else ANYWHERE
-                at = place or stop
-    places = np.array([0, *sorted(best), n], np.int64)
-    return places, np.array([0.0, *(best[p] for p in places[1:-1].tolist()), 0.0])
+    return at <= 0 or at >= len(text) or at not in _unsafe(text)
+
+
+class Boundaries:
+    """Places of a text where it may be cut, by class, with their penalties."""
+
+    def __init__(self, text: str):
+        self.text, self.unsafe = text, _unsafe(text)
+        self.known: dict[int, float] = {}
+        spans = _blocks(text)
+        self.starts, self.ends = [], []
+        for start, end in spans:
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+        for m in _LINES.finditer(text):
+            s = m.group()
+            self.known[m.end()] = PARAGRAPH if len(s) > 2 or s in ("\n\n", "\r\r") else LINE
+        self._add(_SENTENCES, SENTENCE)
+
+    def _add(self, pattern: re.Pattern, penalty: float) -> None:
+        for m in pattern.finditer(self.text):
+            self.known.setdefault(m.end(), penalty)
+
+    def add(self, penalty: float, step: int) -> None:
+        """Takes in the boundaries of a class; GRAPHEME those in stretches that the others leave longer than step."""
+        if penalty == CLAUSE:
+            self._add(_CLAUSES, CLAUSE)
+        elif penalty == WORD:
+            self._add(_WORDS, WORD)
+        else:
+            places, _ = self.places()
+            for a in np.flatnonzero(np.diff(places) > step):
+                inside = np.arange(places[a] + 1, places[a + 1])
+                whole = np.setdiff1d(inside, self.unsafe, assume_unique=True)
+                self.known.update(dict.fromkeys(whole.tolist(), GRAPHEME))
+                whole = np.concatenate(([places[a]], whole, [places[a + 1]]))
+                for b in np.flatnonzero(np.diff(whole) > step):  # a cluster longer than what a piece may add
+                    self.known.update(dict.fromkeys(range(int(whole[b]) + 1, int(whole[b + 1])), ANYWHERE))
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted places with penalties, from 0 to the end. Only ANYWHERE cuts within a grapheme cluster."""
+        n = len(self.text)
+        at = np.fromiter(self.known, np.int64, len(self.known))
+        pens = np.fromiter(self.known.values(), float, len(self.known))
+        kept = (at > 0) & (at < n) & ((pens == ANYWHERE) | ~np.isin(at, self.unsafe))
+        at, pens = at[kept], pens[kept]
+        order = np.argsort(at)
+        at, pens = at[order], pens[order]
+        if self.starts:
+            k = np.searchsorted(self.starts, at) - 1
+            pens = pens + IN_BLOCK * ((k >= 0) & (at < np.array(self.ends)[k]))
+        return np.concatenate(([0], at, [n])), np.concatenate(([0.0], pens, [0.0]))
+
+
+EACH = 0.05  # what every piece costs, so that fewer are better
+
+
+def cheapest(places: np.ndarray, pens: np.ndarray, limit: int, overlap: int, target: float) -> tuple[float, list[int]]:
+    """Least cost over all sequences of cuts at the places, and their numbers; infinite if there is none.
+
+    Places are taken in blocks: pieces that begin before a block are weighed for
+    all its places at once. Pieces within a block are so short that a bound on
+    their imbalance mostly rules them out; where it does not they are weighed too.
+    """
+    m, step = len(places), limit - overlap
+    cost, back = np.full(m, np.inf), np.zeros(m, np.int64)
+    cost[0] = 0.0
+    lows = np.searchsorted(places, places - step)
+    lows[places <= limit] = 0
+    scale = IMBALANCE / limit**2
+    lead = np.where(np.arange(m) > 0, overlap, 0) - places  # length of a piece from i to j is places[j] + lead[i]
+    stops = np.searchsorted(places, places + max(1, step // 6), side="right")
+    j = 1
+    while j < m:
+        stop = min(int(stops[j]), j + 128, m)
+        low = min(int(lows[j]), j - 1)
+        length = places[j:stop, None] + lead[low:j]
+        total = length - target
+        total *= total * scale
+        total += cost[low:j]
+        total[length > limit] = np.inf
+        k = total.argmin(axis=1)
+        best = total[np.arange(stop - j), k]
+        done = best + pens[j:stop] + EACH
+        cost[j:stop], back[j:stop] = done, low + k
+        span = places[stop - 1] - places[j] + overlap
+        least = done.min() + max(0.0, target - span) ** 2 * scale if stop - j > 1 else np.inf
+        if (best > least).any():
+            for x in range(j + 1, stop):
+                length = places[x] + lead[j:x]
+                inner = cost[j:x] + np.where(length > limit, np.inf, (length - target) ** 2 * scale)
+                y = int(inner.argmin())
+                if inner[y] < best[x - j]:
+                    cost[x], back[x] = inner[y] + pens[x] + EACH, j + y
+        j = stop
+    ends, j = [], m - 1
+    while j:
+        ends.append(j)
+        j = int(back[j])
+    return float(cost[-1]), ends[::-1]
 
 
 def effective_overlap(limit: int, overlap: int) -> int:
@@ -130,29 +196,20 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
         return [(0, n, "end")]
     overlap = effective_overlap(limit, overlap)
     step = limit - overlap  # what a piece after the first may add
-    places, pens = candidates(text, step)
     least = 1 + max(0, -(-(n - limit) // step))
     target = (n + (least - 1) * overlap) / least  # even length of pieces, overlap included
-    m = len(places)
-    cost, back = np.full(m, np.inf), np.zeros(m, np.int64)
-    cost[0] = 0.0
-    lows = np.searchsorted(places, places - step)
-    for j in range(1, m):
-        low = lows[j] if places[j] > limit else 0
-        prev = places[low:j]
-        length = places[j] - prev + np.where(prev > 0, overlap, 0)
-        gap = (length - target) / limit
-        total = cost[low:j] + IMBALANCE * gap * gap + np.where(length > limit, np.inf, 0.0)
-        k = int(np.argmin(total))
-        cost[j], back[j] = total[k] + pens[j] + 0.05, low + k
-    ends, j = [], m - 1
-    while j:
-        ends.append(j)
-        j = int(back[j])
+    boundaries = Boundaries(text)
+    for finer in (CLAUSE, WORD, GRAPHEME, None):
+        places, pens = boundaries.places()
+        cost, ends = cheapest(places, pens, limit, overlap, target)
+        # a solution with a finer cut costs its penalty and the number of pieces; past words, only what has to be cut is
+        if cost < np.inf and (finer in (GRAPHEME, None) or cost <= finer + EACH * least):
+            break
+        boundaries.add(finer, step)
     out, start = [], 0
-    for j in reversed(ends):
+    for j in ends:
         pen = float(pens[j])
-        kind = "end" if j == m - 1 else NAMES.get(round(pen, 2)) or "block " + NAMES.get(round(pen - IN_BLOCK, 2), "line")
+        kind = "end" if j == len(places) - 1 else NAMES.get(round(pen, 2)) or "block " + NAMES.get(round(pen - IN_BLOCK, 2), "line")
         out.append((start, int(places[j]), kind))
         start = int(places[j]) - overlap
     return out

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -34,6 +36,45 @@ def test_code_is_cut_last():
     assert not any(a < e < b for e in ends)
 
 
+def plain_minimum(places, pens, limit, overlap, target):
+    cost = [0.0] + [float("inf")] * (len(places) - 1)
+    for j in range(1, len(places)):
+        for i in range(j):
+            length = places[j] - places[i] + (overlap if i else 0)
+            if length <= limit:
+                cost[j] = min(cost[j], cost[i] + S.IMBALANCE * ((length - target) / limit) ** 2 + pens[j] + S.EACH)
+    return cost[-1]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.integers(0, 10**6), st.integers(20, 120), st.integers(0, 30))
+def test_minimum_over_all_boundaries(seed, limit, overlap):
+    """The cuts cost what plain dynamic programming over every boundary finds."""
+    r = random.Random(seed)
+    words = lambda n: " ".join("w" * r.randint(1, 9) + r.choice(["", "", "", ",", "."]) for _ in range(n))
+    text = r.choice(["\n\n", "\n", " ", "\r\n"]).join(words(r.randint(1, 25)) for _ in range(r.randint(1, 8)))
+    if r.random() < 0.3:
+        text += "\n```\n" + "\n".join(words(3) for _ in range(5)) + "\n```\n| a | b |\n| c | d |\nend of it"
+    if len(text) <= limit:
+        return
+    over = S.effective_overlap(limit, overlap)
+    step = limit - over
+    least = 1 + max(0, -(-(len(text) - limit) // step))
+    target = (len(text) + (least - 1) * over) / least
+    every = S.Boundaries(text)
+    every.add(S.CLAUSE, step)
+    every.add(S.WORD, step)
+    places, pens = every.places()
+    if (want := plain_minimum(places.tolist(), pens.tolist(), limit, over, target)) == float("inf"):
+        every.add(S.GRAPHEME, step)
+        places, pens = every.places()
+        want = plain_minimum(places.tolist(), pens.tolist(), limit, over, target)
+    pen_at = dict(zip(places.tolist(), pens.tolist()))
+    pieces = check(text, limit, overlap)
+    got = sum(S.IMBALANCE * ((b - a - target) / limit) ** 2 + pen_at[b] + S.EACH for a, b, _ in pieces)
+    assert abs(got - want) < 1e-6
+
+
 def test_clusters_stay_whole():
     text = "👩‍🔬é" * 300
     for _, end, _ in check(text, 50, 5):
