@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from pagewright.llm import lookalike as K
 
-SAME = [("office", "oﬃce"), ("naïve", "naïve"), ("code", "ｃｏｄｅ"), ("Сοде".replace("де", "de"), "Code"), ("a b", "a b"), ("a-b", "a‑b"), ("word", "wo​rd"), ("见文", "⻅⽂"), ("pop", "рор"), ("fi", "ﬁ"), ("Å", "Å"), ("x", "x﻿"), ("a b", "a　b")]
+SAME = [("office", "oﬃce"), ("naïve", "naïve"), ("code", "ｃｏｄｅ"), ("Сοде".replace("де", "de"), "Code"), ("a b", "a b"), ("a-b", "a‑b"), ("word", "wo​rd"), ("见文", "⻅⽂"), ("pop", "рор"), ("fi", "ﬁ"), ("Å", "Å"), ("x", "x﻿"), ("a b", "a　b"), ("AB", "ꓮꓐ"), ("b", "ᖯ"), ("b", "Ь"), ("τ", "т"), ("A", "ᗅ")]
 DIFFERENT = [("a", "A"), ("naive", "naïve"), ("a\nb", "a\r\nb"), ("x2", "x²"), ("1", "①"), ("a b", "ab"), ("a-b", "a—b"), ("1/2", "½"), ("l", "1")]
 
 
@@ -48,3 +48,12 @@ def test_operator(spark):
 def test_hot_copies_give_no_pairs_among_themselves(spark):
     values = [("hot title", None)] * 300 + [("hοt title", None)] * 2
     assert K.equal_look_pairs(rows(spark, values)).count() == 600
+
+
+def test_other_tables(spark):
+    table = K.load_prototypes(["\ufeff# note", "0430 ;\t0061 ;\tMA\t# x", "006D ; 0072 006E ; MA # ASCII stays", "", "2460 ; 0031 ; MA"])
+    assert table == {"а": "a", "①": "1"}
+    values = [("1", None), ("①", None), ("а", None), ("a", None), ("о", None), ("o", None)]
+    assert {(r.rev_id_a, r.rev_id_b) for r in K.equal_look_pairs(rows(spark, values), table).collect()} == {(0, 1), (2, 3)}
+    members = {r.rev_id: (r.same_id, r.look_first_id, r.n_rows) for r in K.look_classes(rows(spark, [*values, ("a", None)]), table).collect()}
+    assert members == {0: (0, 0, 2), 1: (1, 0, 2), 2: (2, 2, 3), 3: (3, 2, 3), 6: (3, 2, 3)}
