@@ -20,6 +20,7 @@ id are distinct pieces of work and are packed each.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,22 +32,24 @@ from pyspark.sql import types as T
 
 from pagewright.session import spread
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Pre-tokenisation of byte-level BPE, as published with the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 2_000_000
 
 
 @cache
 def _encoder(path: str):
     import tiktoken
+    from pyspark import SparkFiles
 
-    with open(path, "rb") as f:
+    # on an executor the file lies where Spark has put it
+    shipped = os.path.exists(path) or SparkFiles.get(os.path.basename(path))
+    with open(path if shipped is True else shipped, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("pagewright", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(texts: list[str | None], path: str = TOKENIZER) -> list[int]:
+def count_tokens(texts: list[str | None], path: str) -> list[int]:
     """Tokens of each text; special-token strings count as ordinary text."""
     enc = _encoder(path)
     return [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
@@ -172,12 +175,14 @@ def _packer(specs: list[tuple[int, int]], one_per_source: bool):
     return run
 
 
-def pack_documents(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER, one_per_source: bool = False) -> DataFrame:
+def pack_documents(documents: DataFrame, specs: DataFrame, tokenizer: str, one_per_source: bool = False) -> DataFrame:
     """(spec_id, container, doc_id, piece_no, token_start, n_tokens, capacity) of every text for every capacity.
 
     A text hot by its number of copies spreads over all shards, as these go by
-    doc_id. The number of shards follows the size of the texts.
+    doc_id. The number of shards follows the size of the texts. tokenizer is a
+    vocabulary file on the driver, which is shipped to the executors.
     """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     wanted = [(r.spec_id, r.capacity_tokens) for r in specs.select("spec_id", "capacity_tokens").filter("capacity_tokens >= 1").distinct().orderBy("spec_id").limit(1001).collect()]
     if len(wanted) > 1000:
         raise ValueError("more than 1000 capacities")

@@ -68,9 +68,17 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.nearest(table(spark, sf_dir, "corpus_pages"))
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in containers of every capacity."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+    """Every document in containers of every capacity; copies of a text never share one."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"), TOKENIZER)
+
+
+def p6_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with documents of one source in different containers too."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"), TOKENIZER, one_per_source=True)
 
 
 def p6_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +106,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.document_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p2_bodies, p3_found, p3_forms, p3_classes, p4_found, p4_nearest, p6_packed, p6_utilisation, p7_found, p8_found, p8_segments, p8_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_records, p2_bodies, p3_found, p3_forms, p3_classes, p4_found, p4_nearest, p6_packed, p6_by_source, p6_utilisation, p7_found, p8_found, p8_segments, p8_documents)}
 
 ORACLE_SQL = {
     "p1_found": """
