@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from pathlib import Path
@@ -60,6 +61,7 @@ class Config:
     lint: Lint = Lint()
     embedding: Embedding = Embedding()
     type_strictness: str = "loose"
+    tokenizer: str = "simple"
     history_limit: int = 10
     debounce_ms: int = 500
 
@@ -75,6 +77,22 @@ class Config:
                 raise KeyError(f"unknown key: {key}")
         return mask(at) if key.endswith("api_key") else at
 
+    def list(self) -> dict[str, Any]:
+        """Every dotted key with its value, secrets masked."""
+        out: dict[str, Any] = {}
+
+        def walk(node: Any, at: str) -> None:
+            for name in [f.name for f in fields(node)] if is_dataclass(node) else list(node):
+                key = f"{at}{name}"
+                value = getattr(node, name) if is_dataclass(node) else node[name]
+                if is_dataclass(value) or isinstance(value, dict):
+                    walk(value, f"{key}.")
+                else:
+                    out[key] = mask(value) if key.endswith("api_key") else value
+
+        walk(self, "")
+        return out
+
     def set(self, key: str, value: Any) -> Config:
         """A copy with one dotted key changed."""
         head, _, rest = key.partition(".")
@@ -114,3 +132,24 @@ def load(*paths: str | Path) -> Config:
         if p.exists():
             out = merge(out, tomllib.loads(p.read_text("utf-8")))
     return out
+
+
+def save(path: str | Path, key: str, value: Any) -> None:
+    """Writes one dotted key into a TOML file and keeps the others; a key that the configuration lacks raises KeyError."""
+    Config().set(key, value)
+    file = Path(path)
+    tree = tomllib.loads(file.read_text("utf-8")) if file.exists() else {}
+    at = tree
+    *heads, last = key.split(".")
+    for head in heads:
+        at = at.setdefault(head, {})
+    at[last] = value
+    file.write_text(_toml(tree), "utf-8")
+
+
+def _toml(tree: dict, at: str = "") -> str:
+    """Tables, text, numbers, truth values and lists as TOML."""
+    one = lambda v: json.dumps(v, ensure_ascii=False) if not isinstance(v, list) else "[" + ", ".join(map(one, v)) + "]"
+    plain = "".join(f"{json.dumps(k, ensure_ascii=False)} = {one(v)}\n" for k, v in tree.items() if not isinstance(v, dict))
+    tables = "".join(_toml(v, f"{at}{json.dumps(k, ensure_ascii=False)}.") for k, v in tree.items() if isinstance(v, dict))
+    return (f"\n[{at[:-1]}]\n" if at else "") + plain + tables

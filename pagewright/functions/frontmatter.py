@@ -30,6 +30,25 @@ def error(content: Column) -> Column:
     return F.when(~content.rlike(_OPEN), "no frontmatter block found").when(~content.rlike(r"(?s)^\x{FEFF}?---\r?\n?(?:---|.*?\n---)"), "no closing --- found")
 
 
+def yaml_error(block: str | None) -> str | None:
+    """Why a block is no YAML mapping; null if it is one, or empty."""
+    try:
+        value = yaml.load(block or "", _Loader)
+    except yaml.YAMLError as e:
+        return "invalid YAML: " + str(e).split("\n")[0]
+    return None if value is None or isinstance(value, dict) else "frontmatter is not a mapping"
+
+
+@F.pandas_udf(T.StringType())
+def yaml_error_udf(block: pd.Series) -> pd.Series:
+    return block.map(yaml_error)
+
+
+def strict_error(content: Column) -> Column:
+    """error(), and for a closed block what is wrong with its YAML."""
+    return F.coalesce(error(content), yaml_error_udf(yaml_block(content)))
+
+
 class _Loader(yaml.SafeLoader):
     """Dates stay text."""
 

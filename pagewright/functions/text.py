@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -94,18 +95,18 @@ def dictionary_tokens(freq: dict[str, float]):
     return udf
 
 
-def weighted_bag(pages: DataFrame, keys: tuple[str, ...] = ("wiki", "slug")) -> DataFrame:
-    """(keys, term, tf): three times the title, twice the summary and once the body. Map-side combined on (keys, term)."""
-    parts = [_weighted(c, w) for c, w in WEIGHTS.items()]
+def weighted_bag(pages: DataFrame, keys: tuple[str, ...] = ("wiki", "slug"), cut: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(keys, term, tf): three times the title, twice the summary and once the body. Map-side combined on (keys, term). cut makes the tokens of a text."""
+    parts = [_weighted(cut(F.col(c)), w) for c, w in WEIGHTS.items()]
     return pages.select(*keys, F.explode(F.concat(*parts)).alias("x")).groupBy(*keys, F.col("x.term").alias("term")).agg(F.sum("x.w").cast("int").alias("tf"))
 
 
-def _weighted(name: str, weight: int) -> Column:
-    return F.transform(tokens(F.col(name)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+def _weighted(terms: Column, weight: int) -> Column:
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
 
-def bag_length() -> Column:
-    return sum((F.size(tokens(F.col(c))) * w for c, w in WEIGHTS.items()), F.lit(0)).cast("long")
+def bag_length(cut: Callable[[Column], Column] = tokens) -> Column:
+    return sum((F.size(cut(F.col(c))) * w for c, w in WEIGHTS.items()), F.lit(0)).cast("long")
 
 
 def title_case(stem: Column) -> Column:
@@ -136,9 +137,11 @@ def slug_of_path(path: Column) -> Column:
     return F.when(stem == "index", None).otherwise(F.regexp_replace(stem, r"/index$", ""))
 
 
-def parse_uri(uri: Column, default_wiki: str) -> Column:
-    """struct(wiki, slug) of wiki://w/s, or of a bare slug in the default wiki."""
+def parse_uri(uri: Column, default_wiki: str, known: list[str] | None = None) -> Column:
+    """struct(wiki, slug) of wiki://w/s, or of a bare slug in the default wiki. Given the known wikis, w/s of any other name is a slug of the default wiki."""
     cross = uri.rlike(r"^wiki://[^/]+/.")
+    if known is not None:
+        cross = cross & F.regexp_extract(uri, r"^wiki://([^/]+)/", 1).isin(known)
     return F.struct(
         F.when(cross, F.regexp_extract(uri, r"^wiki://([^/]+)/", 1)).otherwise(F.lit(default_wiki)).alias("wiki"),
         F.regexp_replace(F.when(cross, F.regexp_replace(uri, r"^wiki://[^/]+/", "")).otherwise(uri), r"^wiki://", "").alias("slug"),

@@ -8,8 +8,11 @@ none; a wiki:// target makes an external node.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from pagewright.functions.text import round2
 from pagewright.session import cut_lineage, salted_join
@@ -141,10 +144,13 @@ def render_dot(nodes: DataFrame, edges: DataFrame, most: int = 20_000) -> str:
     return "\n".join(["digraph wiki {", *lines, "}"]) + "\n"
 
 
-def render_summary(nodes: DataFrame, edges: DataFrame) -> str:
-    """Description of a graph in a few lines; everything is aggregated before it comes to the driver."""
+def render_summary(nodes: DataFrame, edges: DataFrame, most: int = 20_000) -> str:
+    """Description of the graph of one wiki in a few lines; titles are cut to eight of a type by rank before they come to the driver."""
     n, m = nodes.count(), edges.count()
-    groups = nodes.filter("not external").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("title")), 1, 8).alias("some")).orderBy(F.desc("n"), "type").collect()
+    local = nodes.filter("not external")
+    first = local.withColumn("_r", F.row_number().over(W.partitionBy("type").orderBy("title", "slug"))).filter("_r <= 8")
+    some = first.groupBy("type").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "title"))), lambda x: x["title"]).alias("some"))
+    groups = local.groupBy("type").agg(F.count(F.lit(1)).alias("n")).join(some, "type").orderBy(F.desc("n"), "type").collect()
     hubs = [f"{h.title} ({h.degree} edges)" for h in top_hubs(nodes, edges).collect()]
     out = [f"The wiki graph has {n} nodes and {m} edges across {len(groups)} type groups.", ""]
     out += [f"**{g.type}** ({g.n} nodes): {', '.join(g.some)}{', ...' if g.n > 8 else ''}" for g in groups]
@@ -153,9 +159,32 @@ def render_summary(nodes: DataFrame, edges: DataFrame) -> str:
     rel = relations(edges).collect()
     if rel:
         out += ["", "**Edges by relation:**"] + [f"- `{r.relation}` ({r.n})" for r in rel]
+    lone = nodes.join(degrees(edges), ["wiki", "slug"], "left_anti").select("slug", "title")
+    outside = nodes.filter("external").select("slug", "title")
+    for name, rows, key in (("Isolated nodes", lone, 0), ("External references", outside, 1)):
+        titles = [r.title for r in sorted(bounded(rows, most), key=lambda r: r[key])]
+        if titles:
+            out += ["", f"**{name} ({len(titles)}):** {', '.join(titles)}"]
     return "\n".join(out) + "\n"
 
 
+FORMATS = {"mermaid": render_mermaid, "dot": render_dot, "llms": render_summary}
+
+
+def entry(nodes: DataFrame, edges: DataFrame, kind: str = "mermaid", output: str | None = None, generated: str = "", root: tuple[str, str] | None = None, depth: int = 3, types: list[str] | None = None) -> str:
+    """The drawing of a graph, of the pages about a root if one is given, also written to a file; a .md file gets front matter and a fence."""
+    if kind not in FORMATS:
+        raise ValueError(f"unknown format: {kind}")
+    if root:
+        nodes, edges = subgraph(nodes, edges, root, depth)
+    text = FORMATS[kind](nodes, edges)
+    if output:
+        file = Path(output)
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(wrap_markdown(text, kind, generated, root[1] if root else "", depth, types) if file.suffix == ".md" else text, "utf-8")
+    return text
+
+
 def wrap_markdown(rendered: str, kind: str, generated: str, root: str = "", depth: int = 0, types: list[str] | None = None) -> str:
     """A rendered graph as a Markdown page with front matter."""
     head = {"title": '"Wiki Graph"', "generated": f'"{generated}"', "format": kind, "root": root, "depth": depth, "types": f"[{', '.join(types or [])}]", "status": "generated"}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from pagewright.session import number_rows
+
 
 def filtered(pages: DataFrame, type: str | None = None, status: str | None = None) -> DataFrame:
     if type:
@@ -60,10 +62,11 @@ def export_order(pages: DataFrame, include_archived: bool = False) -> DataFrame:
     """Pages of each wiki with their place in the export: types with most pages first, then type, confidence downwards, title, slug."""
     rows = pages if include_archived else pages.filter(F.coalesce("status", F.lit("")) != "archived")
     rows = rows.withColumns({"type": F.coalesce("type", F.lit("")), "title": F.coalesce("title", F.lit("")), "_c": F.coalesce("confidence", F.lit(1.0))})
-    counts = rows.groupBy("wiki", "type").agg(F.count(F.lit(1)).alias("n_type"))
-    rows = rows.join(counts, ["wiki", "type"])
-    order = W.partitionBy("wiki").orderBy(F.desc("n_type"), "type", F.desc("_c"), "title", "slug")
-    return rows.withColumn("place", F.row_number().over(order)).drop("_c")
+    # placed without the texts, which join again by page: no wiki has to fit into one task
+    narrow = rows.select("wiki", "slug", "type", "title", "_c")
+    counts = narrow.groupBy("wiki", "type").agg(F.count(F.lit(1)).alias("n_type"))
+    placed = number_rows(narrow.join(counts, ["wiki", "type"]), "wiki", [F.desc("n_type"), F.asc("type"), F.desc("_c"), F.asc("title"), F.asc("slug")])
+    return rows.drop("_c").join(placed.select("wiki", "slug", "n_type", "place"), ["wiki", "slug"])
 
 
 def export_lines(pages: DataFrame, include_archived: bool = False) -> DataFrame:
@@ -85,24 +88,51 @@ def export_text(pages: DataFrame, wiki: str, include_archived: bool = False) ->
 
 
 def export_full(pages: DataFrame, include_archived: bool = False) -> DataFrame:
-    """(wiki, place, text) of the full export: rule, linked title, summary in italics, body."""
+    """(wiki, place, text) of the full export: the name and number of pages at place 0, then rule, linked title, summary in italics and body of each page."""
     summary = F.when(F.coalesce("summary", F.lit("")) == "", "").otherwise(F.concat(F.lit("_"), "summary", F.lit("_\n\n")))
     text = F.concat(F.lit("---\n\n# ["), "title", F.lit("]("), "uri", F.lit(")\n\n"), summary, F.trim(F.coalesce("body", F.lit(""))), F.lit("\n\n"))
-    return export_order(pages, include_archived).select("wiki", "place", text.alias("text"))
+    ordered = export_order(pages, include_archived)
+    head = F.concat(F.lit("# "), "wiki", F.lit("\n\n"), F.col("n").cast("string"), F.lit(" pages\n\n")).alias("text")
+    live = pages if include_archived else pages.filter(F.coalesce("status", F.lit("")) != "archived")
+    heads = live.groupBy("wiki").agg(F.count(F.lit(1)).alias("n")).select("wiki", F.lit(0).alias("place"), head)
+    return ordered.select("wiki", "place", text.alias("text")).unionByName(heads)
 
 
 def export_json(pages: DataFrame, include_archived: bool = False) -> DataFrame:
-    """(wiki, place, json): one object a page; an absent confidence is left out."""
+    """(wiki, place, json): one object a page; an absent confidence is left out. frontmatter holds the remaining fields, of the column rest or else of fields, text_vals and numeric_vals; it is left out where there are none."""
     blank = lambda n: F.coalesce(n, F.lit("")).alias(n)
-    row = F.struct("slug", "uri", "title", "type", blank("status"), "confidence", blank("summary"), "body")
-    return export_order(pages, include_archived).select("wiki", "place", F.to_json(row, {"ignoreNullFields": "true"}).alias("json"))
+    ordered = export_order(pages, include_archived)
+    if "rest" in ordered.columns:
+        rest = F.when(~F.coalesce("rest", F.lit("{}")).isin("{}", ""), F.parse_json("rest"))
+    else:
+        maps = [F.coalesce(F.transform_values(n, lambda k, v: v.cast("variant")), F.create_map().cast("map<string,string>").cast("map<string,variant>")) for n in ("fields", "text_vals", "numeric_vals")]
+        rest = F.map_from_entries(F.array_sort(F.flatten(F.array(*[F.map_entries(m) for m in maps])), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)))
+        rest = F.when(F.size(rest) > 0, rest)
+    row = F.struct("slug", "uri", "title", "type", blank("status"), "confidence", blank("summary"), rest.alias("frontmatter"), "body")
+    return ordered.select("wiki", "place", F.to_json(row, {"ignoreNullFields": "true"}).alias("json"))
+
+
+def _escaped(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.coalesce(c, F.lit(""))
 
 
-def feed(pages: DataFrame, k: int = 20) -> DataFrame:
-    """(last_updated, slug, item): RSS items of the recent pages."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+def feed(pages: DataFrame, base: str = "", k: int = 20) -> DataFrame:
+    """(last_updated, slug, item): RSS items of the recent pages, with link and date; base is the address that pages lie below."""
     rows = recent(pages, k)
-    return rows.select("last_updated", "slug", F.concat(F.lit("<item><title>"), esc(F.col("title")), F.lit("</title><guid>"), esc(F.col("slug")), F.lit("</guid></item>")).alias("item"))
+    day = F.when(F.col("last_updated").rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_date("last_updated", "yyyy-MM-dd"))
+    date = F.coalesce(F.concat(F.lit("<pubDate>"), F.date_format(day, "EEE, dd MMM yyyy 00:00:00"), F.lit(" +0000</pubDate>")), F.lit(""))
+    link = _escaped(F.concat(F.lit(base.rstrip("/") + "/"), "wiki", F.lit("/"), "slug"))
+    item = F.concat(F.lit("<item><title>"), _escaped(F.col("title")), F.lit("</title><link>"), link, F.lit("</link><guid>"), _escaped(F.concat(F.lit("wiki://"), "wiki", F.lit("/"), "slug")), F.lit("</guid>"), date, F.lit("</item>"))
+    return rows.select("last_updated", "slug", item.alias("item"))
+
+
+def feed_xml(pages: DataFrame, title: str, base: str = "", k: int = 20) -> str:
+    """The whole feed; k bounds its items."""
+    escape = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    items = "".join(r.item for r in feed(pages, base, k).collect())
+    return f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{escape(title)}</title><link>{escape(base)}</link>{items}</channel></rss>'
 
 
 def render_hits(hits: DataFrame) -> str:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.config import LINK_FIELDS, Lint
+from pagewright.config import Graph as GraphConfig
 from pagewright.functions.text import round2
 from pagewright.operators import graph as G
-from pagewright.session import salted_join
+from pagewright.operators import structure as T
+from pagewright.session import cut_lineage, salted_join
 
 FINDING = ["wiki", "slug", "rule", "severity", "message"]
 
@@ -130,11 +132,39 @@ def staleness(pages: DataFrame, as_of: str) -> DataFrame:
     return pages.withColumn("_age", age).groupBy("wiki").agg(*[F.count_if(F.col("_age") == k).alias(k) for k in ("fresh", "stale_7d", "stale_30d")])
 
 
+def _counts(pages: DataFrame, name: str, out: str) -> DataFrame:
+    """(wiki, map of value to count) of a column, empty values left out."""
+    per = pages.filter(F.coalesce(name, F.lit("")) != "").groupBy("wiki", name).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("wiki").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "n")))).alias(out))
+
+
 def stats(pages: DataFrame, decls: DataFrame, as_of: str) -> DataFrame:
     """One row a wiki: pages, sections, graph measures and staleness."""
     nodes, edges = G.build(pages, decls)
-    counts = pages.groupBy("wiki").agg(F.count_if(F.coalesce("type", F.lit("")) != "section").alias("pages"), F.count_if(F.col("type") == "section").alias("sections"), round2(F.avg("confidence")).alias("avg_confidence"))
-    return counts.join(G.metrics(nodes, edges), "wiki").join(staleness(pages, as_of), "wiki")
+    return _basics(pages).join(G.metrics(nodes, edges), "wiki").join(staleness(pages, as_of), "wiki")
+
+
+def _basics(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("wiki").agg(F.count_if(F.coalesce("type", F.lit("")) != "section").alias("pages"), F.count_if(F.col("type") == "section").alias("sections"), round2(F.avg("confidence")).alias("avg_confidence"))
+
+
+def dashboard(pages: DataFrame, decls: DataFrame, as_of: str, c: GraphConfig = GraphConfig(), index: dict | None = None) -> DataFrame:
+    """stats() with counts by type and status, communities, distances with the centre or a note why there are none, and the health of the index (a Store's status)."""
+    nodes, edges = G.build(pages, decls)
+    nodes, edges = cut_lineage(nodes), cut_lineage(edges)
+    out = _basics(pages).join(G.metrics(nodes, edges), "wiki").join(staleness(pages, as_of), "wiki")
+    out = out.join(_counts(pages, "type", "types"), "wiki", "left").join(_counts(pages, "status", "statuses"), "wiki", "left")
+    out = out.join(T.community_stats(T.communities(nodes, edges, c.min_nodes_for_communities)), "wiki", "left")
+    far = T.distance_summary(T.eccentricities(nodes, edges, c.max_nodes_for_diameter)).drop("periphery")
+    local = nodes.filter("not external").groupBy("wiki").agg(F.count(F.lit(1)).alias("_local"))
+    note = F.concat(F.lit("graph too large for diameter computation ("), F.col("_local").cast("string"), F.lit(f" nodes > max_nodes_for_diameter={c.max_nodes_for_diameter})"))
+    out = out.join(far, "wiki", "left").join(local, "wiki", "left").withColumn("structural_note", F.when(F.col("_local") > c.max_nodes_for_diameter, note)).drop("_local")
+    return out.withColumns({"index_stale": F.lit(bool(index["stale"]) if index else None).cast("boolean"), "index_built": F.lit(index["built"] if index else None).cast("string")})
+
+
+def lint_totals(findings: DataFrame) -> DataFrame:
+    """(rule, severity, n): findings by rule."""
+    return findings.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def validate(pages: DataFrame, types: DataFrame, strict: bool = False) -> DataFrame:

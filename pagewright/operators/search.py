@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from pagewright.config import Search
 from pagewright.functions import text as X
+from pagewright.sources.embeddings import unit
 
 KEY = ["wiki", "slug"]
 
@@ -95,6 +97,46 @@ def bm25_postings(posted: DataFrame, lengths: DataFrame, query: str, c: Search =
     return rows.groupBy(*KEY).agg(F.sum(score).alias("bm25"))
 
 
+def batch(posted: DataFrame, terms: DataFrame, corpus: DataFrame, queries: list[str] | DataFrame, c: Search = Search(), k: int | None = None, type: str | None = None, include_sections: bool = False, cut: Callable[[Column], Column] = X.tokens) -> DataFrame:
+    """(query_id, rank, wiki, slug, score): the best pages of many queries in one job, from the tables of an index store.
+
+    queries are texts, numbered from 0, or rows of (query_id, query). Only
+    postings of their terms are read; what ranking needs of a page stands in the
+    posting, so there is no join before the best are known. The statistics are
+    those of the whole index.
+    """
+    k = c.top_k if k is None else k
+    if k < 0:
+        raise ValueError("top_k must not be negative")
+    if isinstance(queries, list):
+        every = {t for q in queries for t in X.query_tokens(q)}
+        if cut is X.tokens:  # known on the driver: the filter reaches the scan
+            posted, terms = (t.filter(F.col("term").isin(sorted(every))) for t in (posted, terms))
+        queries = posted.sparkSession.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    asked = queries.select("query_id", F.explode(cut(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    weighed = asked.join(terms, "term").crossJoin(F.broadcast(corpus))  # statistics are one row
+    hits = candidates(posted, type, include_sections).join(weighed, "term")
+    part = F.when(F.col("avg_len") > 0, F.col("times") * _idf(F.col("n"), F.col("df")) * _part(F.col("tf"), F.col("len"), F.col("avg_len"), c)).otherwise(0.0)
+    scored = hits.groupBy("query_id", "wiki", "slug").agg(F.sum(part).alias("bm25"), F.first("status").alias("status"), F.first("confidence").alias("confidence"))
+    scored = scored.filter("bm25 > 0").select("query_id", "wiki", "slug", (F.col("bm25") * multiplier(c)).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "slug", "wiki"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("score", X.round2(F.col("score")))
+
+
+def entry(pages: DataFrame, query: str, mode: str = "keyword", provider: Callable[[list[str]], list[list[float]]] | None = None, c: Search = Search(), k: int | None = None, type: str | None = None, include_sections: bool = False) -> DataFrame:
+    """Search by keyword, semantic or hybrid; the last two need a provider that embeds the query."""
+    if mode == "keyword":
+        return keyword(pages, query, c, k, type, include_sections, excerpts=True)
+    if mode not in ("semantic", "hybrid"):
+        raise ValueError(f"unknown search mode: {mode}")
+    if provider is None:
+        raise ValueError("semantic search not configured: no embedding provider")
+    vector = unit(provider([query])[0])
+    if mode == "semantic":
+        return semantic(pages, vector, c, k, type)
+    return hybrid(pages, query, vector, c, k, c.hybrid_weight, type)
+
+
 def _top(scored: DataFrame, k: int) -> DataFrame:
     if k < 0:
         raise ValueError("top_k must not be negative")
@@ -135,10 +177,10 @@ def semantic(pages: DataFrame, vector: list[float], c: Search = Search(), k: int
     return _results(_top(rows.withColumn("score", cosine(F.col("embedding"), vector) * multiplier(c)), c.top_k if k is None else k))
 
 
-def hybrid(pages: DataFrame, query: str, vector: list[float], c: Search = Search(), k: int | None = None, weight: float | None = None) -> DataFrame:
+def hybrid(pages: DataFrame, query: str, vector: list[float], c: Search = Search(), k: int | None = None, weight: float | None = None, type: str | None = None) -> DataFrame:
     """Weighted sum of cosine and of BM25 over its maximum among the candidates."""
     w = weight if weight and weight > 0 else 0.5
-    rows = candidates(bm25(pages, query, c))
+    rows = candidates(bm25(pages, query, c), type)
     best = rows.agg(F.max("bm25").alias("_max"))
     norm = F.when(F.col("_max") > 0, F.col("bm25") / F.col("_max")).otherwise(0.0)
     cos = F.when(F.col("embedding").isNotNull(), F.greatest(cosine(F.col("embedding"), vector), F.lit(0.0))).otherwise(0.0)

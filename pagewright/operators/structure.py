@@ -114,7 +114,10 @@ def cut_structure(nodes: DataFrame, edges: DataFrame, most: int = MOST_EDGES) ->
 
 
 def louvain_of(near: dict[str, list[str]]) -> dict[str, int]:
-    """First phase of Louvain: nodes in name order move to the neighbour community of best gain while that is above 0; ties to the smallest id."""
+    """First phase of Louvain: nodes in name order move to the other community among their neighbours of best gain, if that is above 0; ties to the smallest id.
+
+    The gain is compared with 0 and not with that of staying, so passes are bounded.
+    """
     nodes = sorted(near)
     m = sum(map(len, near.values())) / 2
     at = {v: k for k, v in enumerate(nodes)}
@@ -130,6 +133,8 @@ def louvain_of(near: dict[str, list[str]]) -> dict[str, int]:
             total[mine] -= k
             best, gain = mine, 0.0
             for c in sorted(inside):
+                if c == mine:
+                    continue
                 g = inside[c] / m - total[c] * k / (2 * m * m)
                 if g > gain:
                     best, gain = c, g
@@ -156,9 +161,12 @@ def communities(nodes: DataFrame, edges: DataFrame, least: int = 30, most: int =
 
 
 def community_stats(found: DataFrame) -> DataFrame:
-    """(wiki, communities, largest, smallest, isolated): isolated nodes are those of communities of one or two."""
-    sizes = found.groupBy("wiki", F.coalesce(F.col("community").cast("string"), F.concat(F.lit("="), "slug")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("wiki").agg(F.count(F.lit(1)).alias("communities"), F.max("n").alias("largest"), F.min("n").alias("smallest"), F.coalesce(F.sum(F.when(F.col("n") <= 2, F.col("n"))), F.lit(0)).alias("isolated"))
+    """(wiki, communities, largest, smallest, isolated): isolated are the slugs in communities of one or two, in order."""
+    key = F.coalesce(F.col("community").cast("string"), F.concat(F.lit("="), "slug"))
+    sizes = found.groupBy("wiki", key.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    few = found.withColumn("c", key).join(sizes.filter("n <= 2").select("wiki", "c"), ["wiki", "c"], "left_semi").groupBy("wiki").agg(F.array_sort(F.collect_list("slug")).alias("isolated"))
+    out = sizes.groupBy("wiki").agg(F.count(F.lit(1)).alias("communities"), F.max("n").alias("largest"), F.min("n").alias("smallest"))
+    return out.join(few, "wiki", "left").withColumn("isolated", F.coalesce("isolated", F.array().cast("array<string>")))
 
 
 def eccentricity_of(near: dict[str, list[str]]) -> dict[str, int]:
@@ -190,6 +198,7 @@ def eccentricities(nodes: DataFrame, edges: DataFrame, most_nodes: int = 2000) -
 
 
 def distance_summary(ecc: DataFrame) -> DataFrame:
-    """(wiki, diameter, radius, n_center, n_periphery)."""
+    """(wiki, diameter, radius, center, periphery): the slugs of least and of greatest eccentricity, in order; the gate of eccentricities() bounds them."""
     ends = ecc.groupBy("wiki").agg(F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"))
-    return ecc.join(ends, "wiki").groupBy("wiki", "diameter", "radius").agg(F.count_if(F.col("eccentricity") == F.col("radius")).alias("n_center"), F.count_if(F.col("eccentricity") == F.col("diameter")).alias("n_periphery"))
+    at = lambda end: F.array_sort(F.collect_list(F.when(F.col("eccentricity") == F.col(end), F.col("slug"))))
+    return ecc.join(ends, "wiki").groupBy("wiki", "diameter", "radius").agg(at("radius").alias("center"), at("diameter").alias("periphery"))

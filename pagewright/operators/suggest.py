@@ -138,10 +138,12 @@ def _best_of_block(k: int, c: Search):
     return run
 
 
-def by_texts(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int = 10, block: int = 4096) -> DataFrame:
-    """by_text() of all asked pages at once: each wiki is a grid of query blocks and document blocks, and every pair is scored.
+def best_matches(pages: DataFrame, words: DataFrame, c: Search = Search(), k: int = 10, block: int = 4096) -> DataFrame:
+    """(wiki, slug, other, score): the best k pages of the wiki for each query, by BM25 times the multiplier, scores rounded; words are rows of (wiki, slug, term, times), slug being any name of a query.
 
-    Statistics are those of the whole wiki. Only the best k of a page leave a block.
+    Each wiki is a grid of query blocks and document blocks, and every pair is
+    scored. Statistics are those of the whole wiki. Only the best k of a query
+    leave a block.
     """
     bag = I.postings(pages)
     stats = I.corpus_stats(pages, per_wiki=True).select("wiki", F.col("n").alias("n_docs"), F.col("avg_len"), F.ceil(F.col("n") / block).cast("int").alias("grid"))
@@ -151,7 +153,6 @@ def by_texts(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int = 10,
     norm = c.k1 * (1 - c.b + c.b * F.col("len") / F.col("avg_len"))
     held = bag.groupBy("wiki", "slug").agg(F.collect_list(F.struct("term", "tf")).alias("x")).select("wiki", "slug", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))
     docs = sized.join(held, ["wiki", "slug"]).select("wiki", every.alias("q_block"), part.alias("d_block"), "slug", "factor", norm.alias("norm"), "terms", "tfs")
-    words = of.select("wiki", "slug", F.explode(F.concat(X.tokens(F.col("title")), X.tokens(F.col("summary")))).alias("term")).groupBy("wiki", "slug", "term").agg(F.count(F.lit(1)).alias("times"))
     weighed = words.join(I.term_stats(bag, per_wiki=True), ["wiki", "term"]).join(stats, "wiki").withColumn("weight", F.col("times") * S._idf(F.col("n_docs"), F.col("df")))
     sought = weighed.groupBy("wiki", "slug", "grid").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("x"))
     # aliases, as both sides of the cogroup may come from the same pages
@@ -159,11 +160,34 @@ def by_texts(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int = 10,
     keys = ["wiki", "q_block", "d_block"]
     found = asked.groupBy(*keys).cogroup(docs.groupBy(*keys)).applyInArrow(_best_of_block(k, c), TEXT)
     rank = F.row_number().over(W.partitionBy("wiki", "slug").orderBy(F.desc("score"), "other"))
-    hits = found.withColumn("_r", rank).filter(F.col("_r") <= k).withColumn("score", X.round2(F.col("score")))
+    return found.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r").withColumn("score", X.round2(F.col("score")))
+
+
+def by_texts(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int = 10, block: int = 4096) -> DataFrame:
+    """by_text() of all asked pages at once."""
+    words = of.select("wiki", "slug", F.explode(F.concat(X.tokens(F.col("title")), X.tokens(F.col("summary")))).alias("term")).groupBy("wiki", "slug", "term").agg(F.count(F.lit(1)).alias("times"))
+    hits = best_matches(pages, words, c, k, block)
     best = F.greatest(F.max("score").over(W.partitionBy("wiki", "slug")), F.lit(0.001))
     return hits.withColumn("_best", best).filter("slug != other").select("wiki", "slug", "other", (F.col("score") / F.col("_best") * 0.7).alias("score"), F.lit("similar content").alias("reason"))
 
 
+def by_tag_search(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int = 20) -> DataFrame:
+    """Pages that a search for the text of one of the page's tags finds and that share a tag with it: shared tags over the tags of the candidate.
+
+    A tag is searched for once a wiki, whatever the number of pages that have it.
+    """
+    tagged = of.filter(F.size("tags") > 0).select("wiki", "slug", "tags", F.explode(F.array_distinct("tags")).alias("tag"))
+    words = tagged.select("wiki", F.col("tag").alias("slug")).distinct().select("wiki", "slug", F.explode(X.tokens(F.col("slug"))).alias("term")).groupBy("wiki", "slug", "term").agg(F.count(F.lit(1)).alias("times"))
+    hits = best_matches(pages, words, c, k).select("wiki", F.col("slug").alias("tag"), "other")
+    theirs = pages.select("wiki", F.col("slug").alias("other"), F.col("tags").alias("their_tags"))
+    found = hits.join(theirs, ["wiki", "other"]).filter(F.size("their_tags") > 0)
+    # a hit of several tags of a page counts once
+    pairs = tagged.join(found, ["wiki", "tag"]).filter("slug != other").select("wiki", "slug", "other", "tags", "their_tags").distinct()
+    shared = F.size(F.filter("tags", lambda t: F.array_contains(F.col("their_tags"), t)))
+    reason = F.concat(F.lit("shares tags: "), F.array_join("tags", ", "))
+    return pairs.select("wiki", "slug", "other", (shared / F.greatest(F.size("their_tags"), F.lit(1))).alias("score"), reason.alias("reason")).filter("score > 0")
+
+
 def by_community(found: DataFrame, of: DataFrame, taken: DataFrame, limit: int = 2) -> DataFrame:
     """The first pages by slug of the same community that are not taken yet and share no tag, which makes them candidates already.
 

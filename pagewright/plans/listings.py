@@ -10,10 +10,14 @@ from pagewright.functions import text as X
 from pagewright.operators import index as I
 from pagewright.operators import listing
 from pagewright.plans.common import PAGES, pages
-from pagewright.session import table
+from pagewright.session import spread, table
 from pagewright.streaming.watch import debounce
 
 
+# A page that others name.
+SOURCE = "sources/kocuhipe-sampling"
+
+
 def q_current_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("wiki", "slug", "rev_id")
 
@@ -31,9 +35,13 @@ def q_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_with_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword field equality, counted for every value of aliases."""
-    p = pages(spark, sf_dir)
-    return p.select("wiki", "slug", F.explode(F.try_element_at("fields", F.lit("aliases"))).alias("value")).groupBy("value").agg(F.count_distinct("wiki", "slug").alias("n"))
+    """Keyword field equality: pages that name one source."""
+    return listing.with_field(pages(spark, sf_dir), "tags_of", "none").unionByName(listing.with_field(pages(spark, sf_dir), "sources", SOURCE))
+
+
+def q_backlinks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that link to one page."""
+    return listing.backlinks(pages(spark, sf_dir), SOURCE)
 
 
 def q_export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +96,10 @@ def q_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_body_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wikilinks and inline links of all bodies."""
-    p = table(spark, sf_dir, "corpus_pages").filter("body is not null").repartition(64, "rev_id")
-    return p.select("rev_id", F.posexplode(L.body_links_udf("body", F.lit(None).cast("string"))).alias("n", "link"))
+    """Wikilinks and inline links of all bodies, relative ones resolved against the folder of the page."""
+    rows = table(spark, sf_dir, "corpus_pages").filter("body is not null").select("rev_id", "slug", "body")
+    folder = F.regexp_replace(F.coalesce("slug", F.lit("")), r"/?[^/]+$", "")
+    return spread(rows, "rev_id").select("rev_id", F.posexplode(L.body_links_udf("body", folder)).alias("n", "link"))
 
 
 def q_link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +131,7 @@ def q_slug_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_uri_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "corpus_pages").select(F.explode(F.try_element_at("fields", F.lit("sources"))).alias("entry")).distinct()
-    return p.withColumn("u", X.parse_uri(F.col("entry"), "handbook")).select("entry", "u.wiki", "u.slug")
+    return p.withColumn("u", X.parse_uri(F.col("entry"), "handbook", ["handbook", "atlas"])).select("entry", "u.wiki", "u.slug")
 
 
 def q_confidence_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +166,7 @@ def q_html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        q_current_pages, q_list_page, q_recent, q_backlinks, q_with_field, q_export_order, q_export_lines, q_export_full, q_export_json, q_history, q_activity, q_incremental_merge, q_last_changes, q_page_counts, q_debounce_sessions,
+        q_current_pages, q_list_page, q_recent, q_backlinks, q_backlinks_of, q_with_field, q_export_order, q_export_lines, q_export_full, q_export_json, q_history, q_activity, q_incremental_merge, q_last_changes, q_page_counts, q_debounce_sessions,
         q_links, q_body_links, q_link_classes, q_title_case, q_heading_title, q_slug_valid, q_slug_of_path, q_uri_parse, q_confidence_norm, q_embed_text, q_embed_text_effective, q_secrets, q_html_escape,
     )
 }
@@ -177,10 +186,13 @@ ORACLE_SQL = {
     "q_list_page": PAGES + "select slug, wiki, title, (select count(*) from pages where status = 'active') as total from pages where status = 'active' order by slug, wiki limit 20 offset 20",
     "q_recent": PAGES + "select wiki, slug, title, coalesce(text_vals['last_updated'], '') as last_updated from pages order by coalesce(text_vals['last_updated'], '') desc, slug, wiki limit 20",
     "q_backlinks": PAGES + "select target, count(*) as n_pages from (select distinct wiki, slug, unnest(body_links) as target from pages) where target is not null group by target",
-    "q_with_field": PAGES + "select value, count(*) as n from (select distinct wiki, slug, unnest(fields['aliases']) as value from pages) group by value",
+    "q_with_field": PAGES + f"select wiki, slug from pages where list_contains(fields['sources'], '{SOURCE}')",
+    "q_backlinks_of": PAGES + f"select wiki, slug, title from pages where list_contains(body_links, '{SOURCE}')",
+    "q_heading_title": PAGES + r"""select wiki, slug, case when found <> '' then found else array_to_string([upper(w[1]) || w[2:] for w in string_split(regexp_replace(string_split(slug, '/')[-1], '\.md$', ''), '-')], ' ') end as name
+from (select *, trim(regexp_extract(replace(replace(coalesce(body, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^[ \t]*# [ \t]*(\S[^\n]*)', 1)) as found from pages)""",
     "q_export_order": PAGES + _ORDER + "select wiki, slug, place, n_type from placed",
     "q_export_lines": PAGES + _ORDER + "select wiki, place, '- [' || ti || '](' || uri || ')' || case when coalesce(summary, '') = '' then '' else ': ' || summary end as line from placed",
-    "q_export_full": PAGES + _ORDER + r"select wiki, place, '---' || chr(10) || chr(10) || '# [' || ti || '](' || uri || ')' || chr(10) || chr(10) || case when coalesce(summary, '') = '' then '' else '_' || summary || '_' || chr(10) || chr(10) end || trim(coalesce(body, '')) || chr(10) || chr(10) as text from placed",
+    "q_export_full": PAGES + _ORDER + r"select wiki, place, '---' || chr(10) || chr(10) || '# [' || ti || '](' || uri || ')' || chr(10) || chr(10) || case when coalesce(summary, '') = '' then '' else '_' || summary || '_' || chr(10) || chr(10) end || trim(coalesce(body, '')) || chr(10) || chr(10) as text from placed" + " union all select wiki, 0, '# ' || wiki || chr(10) || chr(10) || count(*) || ' pages' || chr(10) || chr(10) from live group by wiki",
     "q_history": "select wiki, hash, date from (select wiki, hash, date from commits where path = 'wiki/index.md' group by all) order by date desc, hash, wiki limit 10",
     "q_activity": "select wiki, hash, date from (select wiki, hash, date from commits group by all) order by date desc, hash, wiki limit 15",
     "q_incremental_merge": PAGES + "," + _LAST + """, old as (select wiki, slug, arg_min(rev_id, struct_pack(a := indexed_at, b := rev_id)) as rev_id from corpus_pages where slug is not null group by all)
@@ -199,7 +211,7 @@ select wiki, min(changed_at) as opened_at, array_to_string(list_sort(list(distin
     "q_title_case": PAGES + "select wiki, slug, array_to_string([upper(w[1]) || w[2:] for w in string_split(string_split(slug, '/')[-1], '-')], ' ') as name from pages",
     "q_slug_valid": r"select entry, entry <> '' and not regexp_matches(entry, '(^|/)(\.|$)|^/|//') and not regexp_matches(string_split(entry, '/')[-1], '\.[^.]+$') as ok from (select distinct unnest(body_links) as entry from corpus_pages)",
     "q_slug_of_path": r"select path, regexp_replace(regexp_replace(regexp_replace(path, '^wiki/', ''), '\.[^./]+$', ''), '/index$', '') as slug from (select distinct path from path_changes where path <> 'wiki/index.md') union all select distinct path, null from path_changes where path = 'wiki/index.md'",
-    "q_uri_parse": "select entry, case when entry similar to 'wiki://[^/]+/.+' then regexp_extract(entry, '^wiki://([^/]+)/', 1) else 'handbook' end as wiki, case when entry similar to 'wiki://[^/]+/.+' then regexp_replace(entry, '^wiki://[^/]+/', '') else entry end as slug from (select distinct unnest(fields['sources']) as entry from corpus_pages)",
+    "q_uri_parse": "select entry, case when entry similar to 'wiki://(handbook|atlas)/.+' then regexp_extract(entry, '^wiki://([^/]+)/', 1) else 'handbook' end as wiki, case when entry similar to 'wiki://(handbook|atlas)/.+' then regexp_replace(entry, '^wiki://[^/]+/', '') else regexp_replace(entry, '^wiki://', '') end as slug from (select distinct unnest(fields['sources']) as entry from corpus_pages)",
     "q_confidence_norm": "select rev_id, case when rev_id % 5 = 0 then [0.9, 0.5, 0.2, null, 1.0, 0.0, null][rev_id % 7 + 1] when confidence is not null then least(greatest(confidence, 0.0), 1.0) end as confidence from corpus_pages",
     "q_embed_text": "select rev_id, md5(left(concat_ws(chr(10), coalesce(title, ''), nullif(summary, ''), nullif(body, '')), 300)) as digest from corpus_pages",
     "q_embed_text_effective": """select rev_id, md5(left(concat_ws(chr(10), coalesce(title, ''), nullif(summary, ''), nullif(body, '')), case when m > 0 then m else 4000 end)) as digest

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Bytes of estimated input that one Python-heavy task should see.
 BYTES_PER_TASK = 16 << 20
@@ -108,3 +109,20 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], row_id: str, h
     left = many.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"))).drop("_salts")
     right = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def number_rows(df: DataFrame, by: str, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds the number of each row within its group, from 1, without bringing a group into one task.
+
+    Rows are sorted by ranges over the whole cluster and kept; the rows of a
+    group in the ranges before one are the offset of its own numbers.
+    """
+    ranged = df.repartitionByRange(F.col(by).asc_nulls_first(), *order).sortWithinPartitions(F.col(by).asc_nulls_first(), *order)
+    # the low bits of the id count the rows of a partition
+    marked = cut_lineage(ranged.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    parts = marked.groupBy(F.col(by).alias("_g"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range and group that begins in it
+    offset = parts.select("_g", "_q", (before - F.col("_first") + 1).alias("_o"))
+    joined = marked.join(offset, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return joined.withColumn(name, (F.col("_i") + F.col("_o")).cast("int")).drop("_p", "_i", "_g", "_q", "_o")

@@ -47,8 +47,11 @@ def unit(v: list[float]) -> list[float]:
     return (x / n if n else x).astype(np.float32).tolist()
 
 
-def embed(pages: DataFrame, provider: Provider | None, batch: int = 16, limit: int = 4000) -> DataFrame:
-    """(wiki, slug, embedding) of pages without a vector; without a provider, semantic search is not configured."""
+def embed(pages: DataFrame, provider: Provider | None, batch: int = 16, limit: int = 4000, degrade: bool = False) -> DataFrame:
+    """(wiki, slug, embedding) of pages without a vector; without a provider, semantic search is not configured.
+
+    With degrade, the pages of a batch that the provider fails on get null vectors.
+    """
     if provider is None:
         raise ValueError("semantic search not configured: no embedding provider")
     rows = pages.filter(F.col("embedding").isNull()) if "embedding" in pages.columns else pages
@@ -58,6 +61,12 @@ def embed(pages: DataFrame, provider: Provider | None, batch: int = 16, limit: i
         for p in parts:
             for at in range(0, len(p), batch):
                 some = p.iloc[at : at + batch]
-                yield pd.DataFrame({"wiki": some["wiki"], "slug": some["slug"], "embedding": [unit(v) for v in provider(some["text"].tolist())]})
+                try:
+                    vectors = [unit(v) for v in provider(some["text"].tolist())]
+                except Exception:
+                    if not degrade:
+                        raise
+                    vectors = [None] * len(some)
+                yield pd.DataFrame({"wiki": some["wiki"], "slug": some["slug"], "embedding": vectors})
 
     return rows.mapInPandas(run, "wiki string, slug string, embedding array<float>")

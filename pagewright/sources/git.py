@@ -57,8 +57,16 @@ def history(spark: SparkSession, repo: str, path: str = "", limit: int = 10, fol
     return spark.createDataFrame(rows, "hash string, date string, message string, author string")
 
 
+def init(repo: str) -> None:
+    _git(repo, "init", "-q")
+
+
 def head(repo: str) -> str:
-    return _git(repo, "rev-parse", "HEAD").strip()
+    """Hash of the last commit; an empty text where there is none."""
+    try:
+        return _git(repo, "rev-parse", "--verify", "-q", "HEAD").strip()
+    except subprocess.CalledProcessError:
+        return ""
 
 
 def commit(repo: str, message: str, paths: list[str] | None = None) -> str:
@@ -67,5 +75,7 @@ def commit(repo: str, message: str, paths: list[str] | None = None) -> str:
     staged = subprocess.run(["git", "-C", repo, "diff", "--cached", "--quiet"], check=False).returncode
     if not staged:
         return ""
-    _git(repo, "commit", "-q", "-m", message, *(["--", *paths] if paths else []))
+    named = subprocess.run(["git", "-C", repo, "var", "GIT_COMMITTER_IDENT"], check=False, capture_output=True).returncode == 0
+    author = [] if named else ["-c", "user.name=pagewright", "-c", "user.email=pagewright@localhost"]
+    _git(repo, *author, "commit", "-q", "-m", message, *(["--", *paths] if paths else []))
     return head(repo)

@@ -122,3 +122,58 @@ def validate_page(fm: dict, registry: Registry, strict: bool = False) -> list[tu
         kind = "default"
     level = "error" if strict else "warning"
     return out + [(level, m) for m in violations(fm, registry.types[kind]["schema"])]
+
+
+def list_types(registry: Registry) -> list[dict]:
+    """Name, description and required fields of every type, in order of name."""
+    return [{"type": t, "description": d["description"], "required": d["required"], "fields": sorted(d["schema"].get("properties") or {})} for t, d in sorted(registry.types.items())]
+
+
+def show(registry: Registry, name: str) -> dict:
+    """The schema of a type, with its own edges."""
+    if name not in registry.types:
+        raise KeyError(f"unknown type: {name}")
+    return registry.types[name] | {"edges": [e for e in registry.edges if e["type"] == name]}
+
+
+def check_schema(schema: dict) -> list[str]:
+    """What is wrong with a schema file."""
+    out = [] if schema.get("type", "object") == "object" else ["a page schema describes an object"]
+    if not schema.get("x-wiki-types"):
+        out.append("x-wiki-types names no type")
+    props = schema.get("properties") or {}
+    out += [f"required field {f} has no property" for f in schema.get("required") or [] if f not in props]
+    out += [f"edge field {f} has no property" for f in schema.get("x-graph-edges") or {} if f not in props]
+    return out
+
+
+def add(folder: str | Path, name: str, schema: dict) -> Path:
+    """Writes a schema file; a faulty schema, a bad name or a type that is there already is an error."""
+    if not re.fullmatch(r"[a-z0-9][a-z0-9-]*", name):
+        raise ValueError(f"bad schema name: {name}")
+    if faults := check_schema(schema):
+        raise ValueError("; ".join(faults))
+    there = {t for p in Path(folder).glob("*.json") for t in json.loads(p.read_text("utf-8")).get("x-wiki-types") or {}}
+    if known := there & set(schema["x-wiki-types"]):
+        raise ValueError(f"types are declared already: {sorted(known)}")
+    file = Path(folder) / f"{name}.json"
+    file.write_text(json.dumps(schema, indent=1) + "\n", "utf-8")
+    return file
+
+
+def remove(folder: str | Path, name: str) -> list[str]:
+    """Takes a type out of the schema files, and files that declare no other type away; gives the names of the files."""
+    touched = []
+    for p in sorted(Path(folder).glob("*.json")):
+        schema = json.loads(p.read_text("utf-8"))
+        types = schema.get("x-wiki-types") or {}
+        if name in types:
+            schema["x-wiki-types"] = {t: d for t, d in types.items() if t != name} if isinstance(types, dict) else [t for t in types if t != name]
+            if schema["x-wiki-types"]:
+                p.write_text(json.dumps(schema, indent=1) + "\n", "utf-8")
+            else:
+                p.unlink()
+            touched.append(p.name)
+    if not touched:
+        raise KeyError(f"unknown type: {name}")
+    return touched

@@ -28,6 +28,7 @@ def test_tokenizer_names():
 
 def test_dictionary_segmentation(spark):
     freq = dict.fromkeys(["混合", "文本", "检索", "与", "注意力", "机制", "注意", "集群", "容错"], 10.0)
+    # fixed values: conformance sentences and their tokens
     assert X.Segmenter(freq)("混合文本BM25检索与注意力机制") == ["混合", "文本", "bm25", "检索", "与", "注意", "注意力", "机制"]
     assert set(X.Segmenter(freq)("集群容错")) <= set(X.Segmenter(freq)("服务器集群容错与故障恢复"))
     assert column(spark, ["注意力", None], X.dictionary_tokens({})) == [["注", "意", "力"], []]
