@@ -302,7 +302,7 @@ ORACLE_SQL["q_suggest_bm25"] = (
 )
 ORACLE_SQL["q_suggest_tag_search"] = (
     _matches("select wiki, qid, term, count(*) as times from (select wiki, tag as qid, " + _CUT.format("tag") + " as term from (select distinct wiki, unnest(tags) as tag from pages)) group by all", 20)
-    + """select wiki, slug, other, len(list_filter(tags, t -> list_contains(their_tags, t))) / greatest(len(their_tags), 1) as score, 'shares tags: ' || array_to_string(tags, ', ') as reason
+    + """select wiki, slug, other, len([t for t in tags if list_contains(their_tags, t)]) / greatest(len(their_tags), 1) as score, 'shares tags: ' || array_to_string(tags, ', ') as reason
 from (select distinct p.wiki, p.slug, b.other, p.tags, o.tags as their_tags from (select wiki, slug, tags, unnest(tags) as tag from pages) p join best b on b.wiki = p.wiki and b.qid = p.tag join pages o on o.wiki = b.wiki and o.slug = b.other where o.slug <> p.slug)
-where len(list_filter(tags, t -> list_contains(their_tags, t))) > 0"""
+where len([t for t in tags if list_contains(their_tags, t)]) > 0"""
 )
