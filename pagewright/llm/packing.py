@@ -60,7 +60,8 @@ def token_counter(path: str):
     def tokens(text: pd.Series) -> pd.Series:
         return pd.Series(count_tokens(text.tolist(), path), dtype="int64")
 
-    return tokens
+    # so marked, a filter on the count is not pushed below it, where the texts would be counted a second time
+    return tokens.asNondeterministic()
 
 
 class Bins:

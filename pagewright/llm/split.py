@@ -219,10 +219,14 @@ CUTS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Stru
 
 
 @F.pandas_udf(CUTS)
-def cuts_udf(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
+def _cuts_udf(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
     return pd.Series([[{"start": a, "stop": b, "boundary": k} for a, b, k in cuts(t, int(m), int(o))] for t, m, o in zip(text, limit, overlap)])
 
 
+# so marked, a filter on the pieces is not pushed below it, where the texts would be cut a second time
+cuts_udf = _cuts_udf.asNondeterministic()
+
+
 def effective(limit: Column, overlap: Column) -> tuple[Column, Column]:
     limit = F.when(limit > 0, limit).otherwise(F.lit(DEFAULT_LIMIT)).cast("int")
     return limit, F.greatest(F.coalesce(overlap, F.lit(0)), F.lit(0)).cast("int")
