@@ -17,6 +17,7 @@ from pagewright.config import LINK_FIELDS, SOURCE_TYPES, Config, Search
 from pagewright.functions import text as X
 from pagewright.operators import index as I
 from pagewright.operators import search as S
+from pagewright.session import number_rows
 
 OUT = ["wiki", "slug", "other", "score", "reason"]
 
@@ -85,6 +86,27 @@ def by_two_hops(edges: DataFrame, of: DataFrame) -> DataFrame:
     return least.select("wiki", "slug", "other", F.lit(0.5).alias("score"), F.concat(F.lit("2 hops via "), "via").alias("reason"))
 
 
+def best_two_hops(edges: DataFrame, of: DataFrame, limit: int) -> DataFrame:
+    """The rows of by_two_hops() that merge() can keep: for each page the first by slug, as many as the limit and what its links take away.
+
+    A page takes as many of the first neighbours of each of its neighbours, so a
+    hub does not meet all pairs of its pages. Neighbours are numbered over
+    ranges, and steps are joined by neighbour and number.
+    """
+    both = edges.select("wiki", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select("wiki", F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+    numbered = number_rows(both.withColumn("_k", F.concat("wiki", F.lit("\0"), "a")), "_k", [F.asc("b")]).select("wiki", F.col("a").alias("via"), F.col("b").alias("other"), F.col("place").alias("n"))
+    degree = both.groupBy("wiki", F.col("a").alias("slug")).agg(F.count(F.lit(1)).alias("degree"))
+    gone = linked(of).groupBy("wiki", "slug").agg(F.count(F.lit(1)).alias("gone"))
+    room = gone.join(degree, ["wiki", "slug"]).select("wiki", "slug", (F.col("gone") + F.col("degree") + limit).alias("room"))
+    one = both.select("wiki", F.col("a").alias("slug"), F.col("b").alias("via")).join(room, ["wiki", "slug"])
+    steps = one.join(degree.select("wiki", F.col("slug").alias("via"), "degree"), ["wiki", "via"]).select("wiki", "slug", "via", F.explode(F.sequence(F.lit(1), F.least("room", "degree").cast("int"))).alias("n"))
+    two = steps.join(numbered, ["wiki", "via", "n"]).filter("slug != other").groupBy("wiki", "slug", "other").agg(F.min("via").alias("via"))
+    far = two.join(one.select("wiki", "slug", F.col("via").alias("other")), ["wiki", "slug", "other"], "left_anti").join(gone, ["wiki", "slug"])
+    # so many are among the first of every neighbour that has them, so the neighbour named is the first of all
+    first = far.withColumn("_r", F.row_number().over(W.partitionBy("wiki", "slug").orderBy("other"))).filter(F.col("_r") <= F.col("gone") + limit)
+    return first.select("wiki", "slug", "other", F.lit(0.5).alias("score"), F.concat(F.lit("2 hops via "), "via").alias("reason"))
+
+
 def by_text(pages: DataFrame, title: str, summary: str, slug: str, wiki: str, c: Search = Search()) -> DataFrame:
     """BM25 of a page's title and summary against its wiki: 0.7 of the share of the best score."""
     hits = S.keyword(pages.filter(F.col("wiki") == wiki), f"{title} {summary}".strip(), c, k=10)
@@ -188,8 +210,8 @@ def by_tag_search(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int
     return pairs.select("wiki", "slug", "other", (shared / F.greatest(F.size("their_tags"), F.lit(1))).alias("score"), reason.alias("reason")).filter("score > 0")
 
 
-def by_community(found: DataFrame, of: DataFrame, taken: DataFrame, limit: int = 2) -> DataFrame:
-    """The first pages by slug of the same community that are not taken yet and share no tag, which makes them candidates already.
+def by_community(found: DataFrame, of: DataFrame, taken: DataFrame, limit: int = 2, tags_taken: bool = True) -> DataFrame:
+    """The first pages by slug of the same community that are not taken yet; tags_taken if every page that shares a tag is a candidate already.
 
     The members of a community are one sorted array, so no pair of its pages is made.
     """
@@ -197,7 +219,7 @@ def by_community(found: DataFrame, of: DataFrame, taken: DataFrame, limit: int =
     peers = member.groupBy("wiki", "community").agg(F.array_sort(F.collect_list(F.struct("slug", "tags"))).alias("peers"))
     gone = taken.groupBy("wiki", "slug").agg(F.collect_set("other").alias("gone"))
     mine = of.select("wiki", "slug", "tags").join(found.filter("community is not null"), ["wiki", "slug"]).join(gone, ["wiki", "slug"], "left").join(peers, ["wiki", "community"])
-    apart = F.filter("peers", lambda x: (x["slug"] != F.col("slug")) & ~F.coalesce(F.arrays_overlap(x["tags"], F.col("tags")), F.lit(False)))
+    apart = F.filter("peers", lambda x: (x["slug"] != F.col("slug")) & ~(F.lit(tags_taken) & F.coalesce(F.arrays_overlap(x["tags"], F.col("tags")), F.lit(False))))
     free = F.array_except(F.transform(apart, lambda x: x["slug"]), F.coalesce("gone", F.array().cast("array<string>")))
     return mine.select("wiki", "slug", F.explode(F.slice(free, 1, limit)).alias("other"), F.lit(0.4).alias("score"), F.lit("same knowledge cluster").alias("reason"))
 

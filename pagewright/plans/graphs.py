@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.config import Config
 from pagewright.operators import graph as G
 from pagewright.operators import quality as Q
 from pagewright.operators import structure as T
@@ -172,11 +173,11 @@ def q_suggest_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     decls = table(spark, sf_dir, "edge_decls")
     nodes, edges = G.build(p, decls)
     edges = cut_lineage(edges)
-    hops = cut_lineage(U.by_two_hops(edges, p))
+    hops = cut_lineage(U.best_two_hops(edges, p, Config().suggest.default_limit))
     taken = U.linked(p)
     for part in (searched, hops, texts):
         taken = taken.unionByName(part.select("wiki", "slug", "other"))
-    peers = U.by_community(T.communities(nodes, edges), p, taken)
+    peers = U.by_community(T.communities(nodes, edges), p, taken, tags_taken=False)
     return U.link_field(U.merge(p, [searched, hops, texts, peers]), p, decls)
 
 

@@ -56,7 +56,7 @@ def test_peers_are_no_candidates_yet(spark):
 
 def test_every_type_gets_suggestions(spark, data):
     types = {tuple(r) for r in pages(spark, data).select("wiki", "slug", "type").collect()}
-    for name in ("q_suggest_tags_all", "q_suggest_2hop_all", "q_suggest_merged"):
+    for name in ("q_suggest_tags", "q_suggest_2hop", "q_suggest_tag_search", "q_suggest_merged"):
         asked = {tuple(r) for r in P.QUERIES[name](spark, data).select("wiki", "slug").distinct().collect()}
         assert len({t for w, s, t in types if (w, s) in asked}) > 10, name
 
@@ -74,3 +74,29 @@ def test_text_of_every_page(spark):
 
 def test_merge_holds_similar_content(spark, data):
     assert P.q_suggest_merged(spark, data).filter("reason = 'similar content'").count() > 0
+
+
+def test_first_two_hops_are_enough(spark):
+    """The merge keeps the same rows from the bounded form as from all nodes two steps away, about a hub too."""
+    r = random.Random(3)
+    names = [f"p{k:02d}" for k in range(40)]
+    pairs = {("w", "p00", s) for s in names[1:30]} | {("w", *r.sample(names, 2)) for _ in range(50)} | {("v", "p01", "p02"), ("v", "p02", "p03")}
+    edges = spark.createDataFrame(sorted(pairs), "wiki string, src string, dst string")
+    links = {}
+    for w, a, b in pairs:
+        links.setdefault((w, a), []).append(b)
+    p = spark.createDataFrame([(w, s, "t", "skill", [], links.get((w, s)), None) for w in "wv" for s in names], "wiki string, slug string, title string, type string, tags array<string>, body_links array<string>, fields map<string,array<string>>").cache()
+    every = U.by_two_hops(edges, p).cache()
+    few = U.best_two_hops(edges, p, 5).cache()
+    assert few.count() <= every.count() and few.exceptAll(every).count() == 0
+    kept = [sorted((x.wiki, x.slug, x.other, x.score, x.reason, x.place) for x in U.merge(p, [part]).collect()) for part in (every, few)]
+    assert kept[0] == kept[1] and len(kept[0]) > 60
+
+
+def test_tag_search(spark):
+    rows = [("w", "a", "red apple", ["fruit", "red"]), ("w", "b", "fruit bowl", ["fruit"]), ("w", "c", "fruit", ["bowl"]), ("w", "d", "nothing", ["fruit"]), ("v", "e", "fruit", ["fruit"]), ("w", "f", None, None)]
+    p = spark.createDataFrame([(w, s, "", t, "", "", "skill", "active", None, tags) for w, s, t, tags in rows], "wiki string, slug string, uri string, title string, summary string, body string, type string, status string, confidence double, tags array<string>")
+    got = {(x.slug, x.other): (x.score, x.reason) for x in U.by_tag_search(p, p).collect()}
+    # d has the tag, but its text is not found
+    assert got == {("a", "b"): (1.0, "shares tags: fruit, red"), ("d", "b"): (1.0, "shares tags: fruit")}
+    assert U.by_tag_search(p.limit(0), p.limit(0)).count() == 0
