@@ -6,7 +6,6 @@ whole index, whatever filter a query has. Scores are double; ties go by slug.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from pagewright.config import Search
 from pagewright.functions import text as X
+from pagewright.session import cut_lineage
 from pagewright.sources.embeddings import unit
 
 KEY = ["wiki", "slug"]
@@ -48,38 +48,35 @@ def _part(tf: Column, length: Column, avg: Column, c: Search) -> Column:
 
 
 def bm25(pages: DataFrame, query: str, c: Search = Search(), per_wiki: bool = False) -> DataFrame:
-    """Pages with their bm25 score, in one scan of the text and without a shuffle of it.
+    """Pages without their bodies, with their bm25 score, from one scan that tokenises each text once.
 
-    The counts of the few query terms are taken within each row; statistics are
-    one row (or one row a wiki), joined back. A repeated query term counts as often.
+    The counts of the few query terms are taken within each row and kept in the
+    shared folder, as statistics and scores both read them; statistics are one
+    row (or one row a wiki), joined back. A repeated query term counts as often.
     """
     times = Counter(X.query_tokens(query))
     if not times:
-        return pages.withColumn("bm25", F.lit(0.0))
+        return pages.drop("body").withColumn("bm25", F.lit(0.0))
     terms = list(times)
-    stats = (_counted(pages, terms).groupBy("wiki") if per_wiki else _counted(pages, terms).groupBy()).agg(
+    counted = cut_lineage(_counted(pages, terms))
+    stats = (counted.groupBy("wiki") if per_wiki else counted.groupBy()).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.count_if(F.col("_tf")[k] > 0) for k in range(len(terms))]).alias("_df")
     )
-    # the second pass tokenises only texts that hold a term as a substring; all others score 0
-    some = X.lowered(F.concat_ws(" ", *X.WEIGHTS)).rlike("|".join(map(re.escape, terms)))
-    counted = _counted(pages, terms, some)
     # statistics are one row, or one a wiki
     joined = counted.join(stats, "wiki") if per_wiki else counted.crossJoin(F.broadcast(stats))
     parts = [times[t] * _idf(F.col("_n"), F.col("_df")[k]) * _part(F.col("_tf")[k], F.col("_len"), F.col("_avg"), c) for k, t in enumerate(terms)]
     score = sum(parts[1:], parts[0])
-    return joined.withColumn("bm25", F.when(F.col("_tf").isNotNull() & (F.col("_avg") > 0), score).otherwise(0.0)).drop("_tf", "_len", "_n", "_avg", "_df")
+    return joined.withColumn("bm25", F.when(F.col("_avg") > 0, score).otherwise(0.0)).drop("_tf", "_len", "_n", "_avg", "_df")
 
 
-def _counted(pages: DataFrame, terms: list[str], where: Column | None = None) -> DataFrame:
-    """Adds _tf, the weighted count of each term, and _len, of the rows that meet a condition; null for others."""
-    rows = pages.withColumn("_some", F.lit(True) if where is None else where)
-    toks = rows.withColumns({f"_{n}": F.when(F.col("_some"), X.tokens(F.col(n))) for n in X.WEIGHTS})
+def _counted(pages: DataFrame, terms: list[str]) -> DataFrame:
+    """Adds _tf, the weighted count of each term, and _len; the body goes."""
+    toks = pages.withColumns({f"_{n}": X.tokens(F.col(n)) for n in X.WEIGHTS}).drop("body")
     # a field of weight w is counted w times, so one array holds the weighted hits of all terms
     weighted = F.concat(*[F.filter(f"_{n}", lambda x: x.isin(terms)) for n, w in X.WEIGHTS.items() for _ in range(w)])
     size = sum((F.size(F.col(f"_{n}")) * w for n, w in X.WEIGHTS.items()), F.lit(0)).cast("long")
     hits = toks.withColumns({"_hits": weighted, "_len": size}).drop(*[f"_{n}" for n in X.WEIGHTS])
-    tf = F.array(*[F.size("_hits") - F.size(F.array_remove("_hits", t)) for t in terms])
-    return hits.withColumn("_tf", F.when(F.col("_some"), tf)).drop("_hits", "_some")
+    return hits.withColumn("_tf", F.array(*[F.size("_hits") - F.size(F.array_remove("_hits", t)) for t in terms])).drop("_hits")
 
 
 def bm25_postings(posted: DataFrame, lengths: DataFrame, query: str, c: Search = Search()) -> DataFrame:
@@ -143,11 +140,14 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "slug", "wiki").limit(k)
 
 
-def _results(top: DataFrame, query: str | None = None) -> DataFrame:
-    """Hits with rounded score; excerpts are made for the few rows that are left."""
-    out = top.withColumn("score", X.round2(F.col("score")))
+def _results(top: DataFrame, query: str | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """Hits with rounded score; excerpts are made of the bodies of the few that are left."""
+    out = top.withColumns({"_raw": F.col("score"), "score": X.round2(F.col("score"))})
     if query is not None:
-        out = out.withColumn("excerpt", X.excerpt_udf(tuple(X.query_tokens(query)))("body"))
+        # the keys of the hits, no more than were asked for, go down to the scan
+        bodies = pages.select(*KEY, "body").join(F.broadcast(out.select(*KEY)), KEY, "left_semi")
+        excerpts = bodies.select(*KEY, X.excerpt_udf(tuple(X.query_tokens(query)))("body").alias("excerpt"))
+        out = out.join(excerpts, KEY, "left").orderBy(F.desc("_raw"), "slug", "wiki")
     cols = ["wiki", "slug", "uri", "title", "type", "summary", "score"]
     return out.select(*cols, *(["excerpt"] if query is not None else []))
 
@@ -155,7 +155,7 @@ def _results(top: DataFrame, query: str | None = None) -> DataFrame:
 def keyword(pages: DataFrame, query: str, c: Search = Search(), k: int | None = None, type: str | None = None, include_sections: bool = False, excerpts: bool = False) -> DataFrame:
     """Best pages by BM25 times status and confidence; scores of 0 or less are no hit."""
     scored = candidates(bm25(pages, query, c), type, include_sections).filter("bm25 > 0").withColumn("score", F.col("bm25") * multiplier(c))
-    return _results(_top(scored, c.top_k if k is None else k), query if excerpts else None)
+    return _results(_top(scored, c.top_k if k is None else k), query if excerpts else None, pages)
 
 
 def cosine(v: Column, query: list[float]) -> Column:
