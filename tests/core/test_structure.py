@@ -1,6 +1,7 @@
 """Graph algorithms against brute force."""
 
 import random
+import time
 
 from pagewright.operators import structure as T
 
@@ -54,3 +55,33 @@ def test_components(spark):
     r.shuffle(pairs)
     got = {(x.wiki, x.slug): x.component for x in T.components(nodes, spark.createDataFrame(pairs, "wiki string, a string, b string")).collect()}
     assert len(got) == 204 and got["v", "n050"] == "n000" and got["w", "n009"] == "n001" and got["w", "n101"] == "n101"
+
+
+def test_communities_of_tables(spark):
+    graphs, lone = {}, {}
+    for seed in range(12):
+        r, n = random.Random(seed), 12 + 3 * seed
+        edges = {tuple(sorted(r.sample(range(n), 2))) for _ in range(2 * n)}
+        near = near_of([(f"n{a:02d}", f"n{b:02d}") for a, b in edges], n)
+        lone[f"w{seed:02d}"], graphs[f"w{seed:02d}"] = seed % 4, near
+    graphs["star"], lone["star"] = near_of([("n00", f"n{k:02d}") for k in range(1, 20)], 20), 1
+    nodes = spark.createDataFrame([(w, s, False) for w in graphs for s in [*graphs[w], *(f"x{k}" for k in range(lone[w]))]] + [("star", "wiki://v/n00", True), ("few", "n00", False)], "wiki string, slug string, external boolean")
+    edges = spark.createDataFrame([(w, a, b) for w, near in graphs.items() for a in near for b in near[a]] + [("star", "n00", "wiki://v/n00")], "wiki string, src string, dst string")
+    got = {(x.wiki, x.slug): x.community for x in T.communities(nodes, edges, 2).collect()}
+    want = {}
+    for w, near in graphs.items():
+        linked = {k: v for k, v in near.items() if v}
+        found = T.louvain_of(linked, len(near) - len(linked) + lone[w])
+        want |= {(w, s): found.get(s) for s in [*near, *(f"x{k}" for k in range(lone[w]))]}
+    assert got == want
+
+
+def test_communities_of_a_larger_wiki(spark):
+    r, n = random.Random(5), 2000
+    pairs = {tuple(sorted((r.randrange(n), int(n * r.random() ** 2)))) for _ in range(6000)}
+    nodes = spark.createDataFrame([("w", f"n{k:04d}", False) for k in range(n)], "wiki string, slug string, external boolean")
+    edges = spark.createDataFrame([("w", f"n{a:04d}", f"n{b:04d}") for a, b in pairs if a != b], "wiki string, src string, dst string")
+    start = time.perf_counter()
+    stats = T.community_stats(T.communities(nodes, edges)).collect()
+    assert len(stats) == 1 and 1 < stats[0].communities < n
+    assert time.perf_counter() - start < 60  # 20,100 passes; some minutes as plain Python
