@@ -85,3 +85,10 @@ def test_communities_of_a_larger_wiki(spark):
     stats = T.community_stats(T.communities(nodes, edges)).collect()
     assert len(stats) == 1 and 1 < stats[0].communities < n
     assert time.perf_counter() - start < 60  # 20,100 passes; some minutes as plain Python
+
+
+def test_communities_are_kept(spark):
+    nodes = spark.createDataFrame([("w", f"n{k}", False) for k in range(5)], "wiki string, slug string, external boolean")
+    edges = spark.createDataFrame([("w", "n0", "n1"), ("w", "n1", "n2"), ("w", "n0", "n2")], "wiki string, src string, dst string")
+    plan = T.communities(nodes, edges, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Louvain" not in plan  # a reader runs no pass again
