@@ -1,10 +1,14 @@
 """Suggestions of every page against brute force."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from pagewright.config import LINK_FIELDS
+from pagewright.operators import graph as G
+from pagewright.operators import quality as Q
+from pagewright.operators import structure as T
 from pagewright.operators import suggest as U
 from pagewright.plans import graphs as P
 from pagewright.plans.common import pages
@@ -100,3 +104,18 @@ def test_tag_search(spark):
     # d has the tag, but its text is not found
     assert got == {("a", "b"): (1.0, "shares tags: fruit, red"), ("d", "b"): (1.0, "shares tags: fruit")}
     assert U.by_tag_search(p.limit(0), p.limit(0)).count() == 0
+
+
+def linked_pages(spark, n=2100):
+    """A wiki whose communities take some minutes as plain Python."""
+    r = random.Random(9)
+    rows = [("w", f"p{k:04d}", f"P{k}", None, None, "note", "active", 0.5, None, [f"p{r.randrange(n):04d}" for _ in range(3)], {}, {"last_updated": "2025-06-29"}) for k in range(n)]
+    return spark.createDataFrame(rows, SCHEMA + ", text_vals map<string,string>").cache(), spark.createDataFrame([], "type string, field string, relation string, target_types array<string>")
+
+
+def test_dashboard_of_a_larger_wiki(spark):
+    p, decls = linked_pages(spark)
+    start = time.perf_counter()
+    (row,) = Q.dashboard(p, decls, "2025-06-30").collect()
+    assert (row.pages, row.nodes, row.fresh, row.diameter) == (2100, 2100, 2100, None) and row.structural_note and 1 < row.communities < 2100
+    assert time.perf_counter() - start < 150
