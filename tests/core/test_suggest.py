@@ -119,3 +119,14 @@ def test_dashboard_of_a_larger_wiki(spark):
     (row,) = Q.dashboard(p, decls, "2025-06-30").collect()
     assert (row.pages, row.nodes, row.fresh, row.diameter) == (2100, 2100, 2100, None) and row.structural_note and 1 < row.communities < 2100
     assert time.perf_counter() - start < 150
+
+
+def test_peers_of_a_larger_wiki(spark):
+    p, decls = linked_pages(spark)
+    start = time.perf_counter()
+    found = T.communities(*G.build(p, decls))
+    peers = U.by_community(found, p, U.linked(p), tags_taken=False)
+    of = {x.slug: x.community for x in found.collect()}
+    rows = peers.collect()
+    assert len(of) == 2100 and len(rows) > 2100 and all(of[x.slug] == of[x.other] for x in rows)
+    assert time.perf_counter() - start < 150
