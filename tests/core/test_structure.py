@@ -3,7 +3,74 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
 from pagewright.operators import structure as T
+from pagewright.operators.compiled import java_function, louvain
+
+PLAIN = """
+package pagewright;
+
+public class PlainLouvain implements org.apache.spark.sql.api.java.UDF2 {
+    public Object call(Object size, Object links) {
+        int n = ((Integer) size).intValue();
+        scala.collection.Seq pairs = (scala.collection.Seq) links;
+        int[] first = new int[n + 1];
+        int count = pairs.size();
+        for (int i = 0; i < count; i++) {
+            long pair = ((Long) pairs.apply(i)).longValue();
+            first[(int) (pair >> 32) + 1]++;
+            first[(int) pair + 1]++;
+        }
+        for (int v = 0; v < n; v++) first[v + 1] += first[v];
+        int[] next = (int[]) first.clone(), near = new int[2 * count], at = new int[n], inside = new int[n];
+        for (int i = 0; i < count; i++) {
+            long pair = ((Long) pairs.apply(i)).longValue();
+            near[next[(int) (pair >> 32)]++] = (int) pair;
+            near[next[(int) pair]++] = (int) (pair >> 32);
+        }
+        long[] total = new long[n];
+        double m = count;
+        for (int v = 0; v < n; v++) {
+            at[v] = v;
+            total[v] = first[v + 1] - first[v];
+        }
+        boolean moved = true;
+        for (long done = 0L; moved && done < 10L * n + 100L; done++) {
+            moved = false;
+            for (int v = 0; v < n; v++) {
+                int k = first[v + 1] - first[v], mine = at[v], to = mine;
+                double most = 0.0;
+                for (int i = first[v]; i < first[v + 1]; i++) inside[at[near[i]]]++;
+                total[mine] -= k;
+                for (int i = first[v]; i < first[v + 1]; i++) {
+                    int c = at[near[i]];
+                    double gain = inside[c] / m - total[c] * (double) k / (2 * m * m);
+                    if (c != mine && (gain > most || gain == most && to != mine && c < to)) {
+                        most = gain;
+                        to = c;
+                    }
+                }
+                for (int i = first[v]; i < first[v + 1]; i++) inside[at[near[i]]] = 0;
+                total[to] += k;
+                moved |= to != mine;
+                at[v] = to;
+            }
+        }
+        int[] id = new int[n];
+        java.util.Arrays.fill(id, -1);
+        int ids = 0;
+        Integer[] out = new Integer[n];
+        for (int v = 0; v < n; v++) {
+            if (first[v + 1] == first[v]) continue;
+            if (id[at[v]] < 0) id[at[v]] = ids++;
+            out[v] = Integer.valueOf(id[at[v]]);
+        }
+        return out;
+    }
+}
+"""
 
 
 def near_of(edges, n):
@@ -92,3 +159,18 @@ def test_communities_are_kept(spark):
     edges = spark.createDataFrame([("w", "n0", "n1"), ("w", "n1", "n2"), ("w", "n0", "n2")], "wiki string, src string, dst string")
     plan = T.communities(nodes, edges, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Pandas" not in plan and "Louvain" not in plan  # a reader runs no pass again
+
+
+def test_passes_of_a_larger_wiki_beside_their_plain_form(spark):
+    r, n = random.Random(6), 2500
+    pairs = {tuple(sorted((r.randrange(n), int(n * r.random() ** 2)))) for _ in range(8000)}
+    links = sorted((a << 32) + b for a, b in pairs if a != b)
+    one = spark.createDataFrame([(n, links)], "n int, links array<bigint>")
+    plain = java_function(spark, PLAIN, "pagewright.PlainLouvain", ArrayType(IntegerType()))(F.col("n"), F.col("links"))
+    took, got = {}, {}
+    for name, column in (("plain", plain), ("passes", louvain(spark, F.col("n"), F.col("links")))):
+        start = time.perf_counter()
+        got[name] = one.select(column.alias("c")).first().c
+        took[name] = time.perf_counter() - start
+    assert got["passes"] == got["plain"] and 1 < len(set(got["plain"])) < n
+    assert took["passes"] < 0.43 * took["plain"], took  # 25,100 passes; a third or less, and 0.55 for the form with branches
