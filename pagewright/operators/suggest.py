@@ -17,7 +17,7 @@ from pagewright.config import LINK_FIELDS, SOURCE_TYPES, Config, Search
 from pagewright.functions import text as X
 from pagewright.operators import index as I
 from pagewright.operators import search as S
-from pagewright.session import number_rows
+from pagewright.session import cut_lineage, number_rows
 
 OUT = ["wiki", "slug", "other", "score", "reason"]
 
@@ -91,20 +91,27 @@ def best_two_hops(edges: DataFrame, of: DataFrame, limit: int) -> DataFrame:
 
     A page takes as many of the first neighbours of each of its neighbours, so a
     hub does not meet all pairs of its pages. Neighbours are numbered over
-    ranges, and steps are joined by neighbour and number.
+    ranges, and steps are joined by neighbour and number. Nodes are numbers in
+    their order until the end, as there are many more steps than rows to keep.
     """
-    both = edges.select("wiki", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select("wiki", F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    numbered = number_rows(both.withColumn("_k", F.concat("wiki", F.lit("\0"), "a")), "_k", [F.asc("b")]).select("wiki", F.col("a").alias("via"), F.col("b").alias("other"), F.col("place").alias("n"))
-    degree = both.groupBy("wiki", F.col("a").alias("slug")).agg(F.count(F.lit(1)).alias("degree"))
-    gone = linked(of).groupBy("wiki", "slug").agg(F.count(F.lit(1)).alias("gone"))
-    room = gone.join(degree, ["wiki", "slug"]).select("wiki", "slug", (F.col("gone") + F.col("degree") + limit).alias("room"))
-    one = both.select("wiki", F.col("a").alias("slug"), F.col("b").alias("via")).join(room, ["wiki", "slug"])
-    steps = one.join(degree.select("wiki", F.col("slug").alias("via"), "degree"), ["wiki", "via"]).select("wiki", "slug", "via", F.explode(F.sequence(F.lit(1), F.least("room", "degree").cast("int"))).alias("n"))
-    two = steps.join(numbered, ["wiki", "via", "n"]).filter("slug != other").groupBy("wiki", "slug", "other").agg(F.min("via").alias("via"))
-    far = two.join(one.select("wiki", "slug", F.col("via").alias("other")), ["wiki", "slug", "other"], "left_anti").join(gone, ["wiki", "slug"])
+    named = edges.select("wiki", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select("wiki", F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+    ends = named.select("wiki", F.col("a").alias("slug"), F.lit(0).alias("_all")).distinct()
+    ids = cut_lineage(number_rows(ends, "_all", [F.asc("wiki"), F.asc("slug")], "id").select("wiki", "slug", "id"))
+    end = lambda name: ids.select("wiki", F.col("slug").alias(name), F.col("id").alias(f"_{name}"))
+    both = cut_lineage(named.join(end("a"), ["wiki", "a"]).join(end("b"), ["wiki", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    numbered = number_rows(both, "a", [F.asc("b")]).select(F.col("a").alias("via"), F.col("b").alias("other"), F.col("place").alias("n"))
+    degree = both.groupBy(F.col("a").alias("slug")).agg(F.count(F.lit(1)).alias("degree"))
+    gone = linked(of).groupBy("wiki", "slug").agg(F.count(F.lit(1)).alias("gone")).join(ids, ["wiki", "slug"]).select(F.col("id").alias("slug"), "gone")
+    room = gone.join(degree, "slug").select("slug", (F.col("gone") + F.col("degree") + limit).alias("room"))
+    one = both.select(F.col("a").alias("slug"), F.col("b").alias("via")).join(room, "slug")
+    steps = one.join(degree.select(F.col("slug").alias("via"), "degree"), "via").select("slug", "via", F.explode(F.sequence(F.lit(1), F.least("room", "degree").cast("int"))).alias("n"))
+    two = steps.join(numbered, ["via", "n"]).filter("slug != other").groupBy("slug", "other").agg(F.min("via").alias("via"))
+    far = two.join(one.select("slug", F.col("via").alias("other")), ["slug", "other"], "left_anti").join(gone, "slug")
     # so many are among the first of every neighbour that has them, so the neighbour named is the first of all
-    first = far.withColumn("_r", F.row_number().over(W.partitionBy("wiki", "slug").orderBy("other"))).filter(F.col("_r") <= F.col("gone") + limit)
-    return first.select("wiki", "slug", "other", F.lit(0.5).alias("score"), F.concat(F.lit("2 hops via "), "via").alias("reason"))
+    first = far.withColumn("_r", F.row_number().over(W.partitionBy("slug").orderBy("other"))).filter(F.col("_r") <= F.col("gone") + limit).select("slug", "other", "via")
+    name = lambda of_id: ids.select(F.col("id").alias(of_id), F.col("slug").alias(f"_{of_id}"))
+    rows = first.join(name("other"), "other").join(name("via"), "via").join(ids.select("wiki", F.col("id").alias("slug"), F.col("slug").alias("_slug")), "slug")
+    return rows.select("wiki", F.col("_slug").alias("slug"), F.col("_other").alias("other"), F.lit(0.5).alias("score"), F.concat(F.lit("2 hops via "), "_via").alias("reason"))
 
 
 def by_text(pages: DataFrame, title: str, summary: str, slug: str, wiki: str, c: Search = Search()) -> DataFrame:
@@ -160,21 +167,30 @@ def _best_of_block(k: int, c: Search):
     return run
 
 
-def best_matches(pages: DataFrame, words: DataFrame, c: Search = Search(), k: int = 10, block: int = 4096) -> DataFrame:
+def terms_of(pages: DataFrame) -> DataFrame:
+    """(wiki, slug, terms, tfs, len): the postings of each page that has any, in one row, and the sum of their counts, which is its length."""
+    of = I.postings(pages).groupBy("wiki", "slug").agg(F.collect_list(F.struct("term", "tf")).alias("x"), F.sum("tf").alias("len"))
+    return of.select("wiki", "slug", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"), "len")
+
+
+def best_matches(pages: DataFrame, words: DataFrame, c: Search = Search(), k: int = 10, block: int = 4096, held: DataFrame | None = None) -> DataFrame:
     """(wiki, slug, other, score): the best k pages of the wiki for each query, by BM25 times the multiplier, scores rounded; words are rows of (wiki, slug, term, times), slug being any name of a query.
 
     Each wiki is a grid of query blocks and document blocks, and every pair is
     scored. Statistics are those of the whole wiki. Only the best k of a query
-    leave a block.
+    leave a block. ``held`` is terms_of() the pages where it is kept already; else
+    it is kept here, as three steps read it.
     """
-    bag = I.postings(pages)
-    stats = I.corpus_stats(pages, per_wiki=True).select("wiki", F.col("n").alias("n_docs"), F.col("avg_len"), F.ceil(F.col("n") / block).cast("int").alias("grid"))
+    held = cut_lineage(terms_of(pages)) if held is None else held
+    length = F.coalesce("len", F.lit(0))
+    stats = pages.select("wiki", "slug").join(held.select("wiki", "slug", "len"), ["wiki", "slug"], "left").groupBy("wiki").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(length).alias("avg_len"))
+    stats = stats.withColumn("grid", F.ceil(F.col("n_docs") / block).cast("int"))
     part = F.pmod(F.xxhash64("slug"), F.col("grid")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("grid") - 1))
-    sized = S.candidates(pages).select("wiki", "slug", X.bag_length().alias("len"), S.multiplier(c).alias("factor")).join(stats, "wiki")
     norm = c.k1 * (1 - c.b + c.b * F.col("len") / F.col("avg_len"))
-    held = bag.groupBy("wiki", "slug").agg(F.collect_list(F.struct("term", "tf")).alias("x")).select("wiki", "slug", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))
-    docs = sized.join(held, ["wiki", "slug"]).select("wiki", every.alias("q_block"), part.alias("d_block"), "slug", "factor", norm.alias("norm"), "terms", "tfs")
+    sized = S.candidates(pages).select("wiki", "slug", S.multiplier(c).alias("factor")).join(stats, "wiki").join(held, ["wiki", "slug"])
+    docs = sized.select("wiki", every.alias("q_block"), part.alias("d_block"), "slug", "factor", norm.alias("norm"), "terms", "tfs")
+    bag = held.select("wiki", F.explode("terms").alias("term"))
     weighed = words.join(I.term_stats(bag, per_wiki=True), ["wiki", "term"]).join(stats, "wiki").withColumn("weight", F.col("times") * S._idf(F.col("n_docs"), F.col("df")))
     sought = weighed.groupBy("wiki", "slug", "grid").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("x"))
     # aliases, as both sides of the cogroup may come from the same pages
@@ -185,22 +201,22 @@ def best_matches(pages: DataFrame, words: DataFrame, c: Search = Search(), k: in
     return found.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r").withColumn("score", X.round2(F.col("score")))
 
 
-def by_texts(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int = 10, block: int = 4096) -> DataFrame:
+def by_texts(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int = 10, block: int = 4096, held: DataFrame | None = None) -> DataFrame:
     """by_text() of all asked pages at once."""
     words = of.select("wiki", "slug", F.explode(F.concat(X.tokens(F.col("title")), X.tokens(F.col("summary")))).alias("term")).groupBy("wiki", "slug", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = best_matches(pages, words, c, k, block)
+    hits = best_matches(pages, words, c, k, block, held)
     best = F.greatest(F.max("score").over(W.partitionBy("wiki", "slug")), F.lit(0.001))
     return hits.withColumn("_best", best).filter("slug != other").select("wiki", "slug", "other", (F.col("score") / F.col("_best") * 0.7).alias("score"), F.lit("similar content").alias("reason"))
 
 
-def by_tag_search(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int = 20) -> DataFrame:
+def by_tag_search(pages: DataFrame, of: DataFrame, c: Search = Search(), k: int = 20, held: DataFrame | None = None) -> DataFrame:
     """Pages that a search for the text of one of the page's tags finds and that share a tag with it: shared tags over the tags of the candidate.
 
     A tag is searched for once a wiki, whatever the number of pages that have it.
     """
     tagged = of.filter(F.size("tags") > 0).select("wiki", "slug", "tags", F.explode(F.array_distinct("tags")).alias("tag"))
     words = tagged.select("wiki", F.col("tag").alias("slug")).distinct().select("wiki", "slug", F.explode(X.tokens(F.col("slug"))).alias("term")).groupBy("wiki", "slug", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = best_matches(pages, words, c, k).select("wiki", F.col("slug").alias("tag"), "other")
+    hits = best_matches(pages, words, c, k, held=held).select("wiki", F.col("slug").alias("tag"), "other")
     theirs = pages.select("wiki", F.col("slug").alias("other"), F.col("tags").alias("their_tags"))
     found = hits.join(theirs, ["wiki", "other"]).filter(F.size("their_tags") > 0)
     # a hit of several tags of a page counts once

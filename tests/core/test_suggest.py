@@ -6,12 +6,14 @@ import time
 from pyspark.sql import functions as F
 
 from pagewright.config import LINK_FIELDS
+from pagewright.functions import text as X
 from pagewright.operators import graph as G
 from pagewright.operators import quality as Q
 from pagewright.operators import structure as T
 from pagewright.operators import suggest as U
 from pagewright.plans import graphs as P
 from pagewright.plans.common import pages
+from pagewright.session import cut_lineage
 
 SCHEMA = "wiki string, slug string, title string, summary string, body string, type string, status string, confidence double, tags array<string>, body_links array<string>, fields map<string,array<string>>"
 
@@ -130,3 +132,24 @@ def test_peers_of_a_larger_wiki(spark):
     rows = peers.collect()
     assert len(of) == 2100 and len(rows) > 2100 and all(of[x.slug] == of[x.other] for x in rows)
     assert time.perf_counter() - start < 150
+
+
+def test_terms_are_made_once(spark, data, monkeypatch):
+    p = small(spark, n=24).withColumns({"uri": F.lit(""), "tags": F.split("title", " ")})
+    held, light = U.terms_of(p).cache(), p.drop("body")
+    for f in (U.by_texts, U.by_tag_search):
+        want = sorted(tuple(r) for r in f(p, p).collect())
+        assert want and sorted(tuple(r) for r in f(light, light, held=held).collect()) == want
+    made = []
+    for name in ("weighted_bag", "bag_length"):
+        one = getattr(X, name)
+        monkeypatch.setattr(X, name, lambda *a, one=one, name=name, **k: made.append(name) or one(*a, **k))
+    assert P.q_suggest_merged(spark, data).count() > 0 and made == ["weighted_bag"]
+
+
+def test_a_cut_leaves_no_shuffle(spark):
+    kept = lambda: str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")).count("shuffle_")
+    before = kept()
+    cut = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert cut.count() == 7 and kept() <= before + 2  # those of the count itself
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
