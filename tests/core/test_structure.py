@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from pagewright.operators import structure as T
-from pagewright.operators.compiled import java_function, louvain
+from pagewright.operators.compiled import LOUVAIN, java_function, louvain
 
 PLAIN = """
 package pagewright;
@@ -174,3 +174,20 @@ def test_passes_of_a_larger_wiki_beside_their_plain_form(spark):
         took[name] = time.perf_counter() - start
     assert got["passes"] == got["plain"] and 1 < len(set(got["plain"])) < n
     assert took["passes"] < 0.43 * took["plain"], took  # 25,100 passes; a third or less, and 0.55 for the form with branches
+
+
+def test_passes_with_gains_that_are_equal_by_floats_only(spark):
+    """Wide nodes of few large communities, whose gains are equal with unequal counts, and a graph too large for gain and id in one number."""
+    plain = java_function(spark, PLAIN, "pagewright.PlainLouvain", ArrayType(IntegerType()))(F.col("n"), F.col("links"))
+    rows = []
+    for seed in range(300):
+        r = random.Random(seed)
+        n = r.randint(3, 24)
+        pairs = {(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < (0.3, 0.6, 1.0)[seed % 3] or seed % 2 and a % 2 != b % 2}
+        rows.append((n, [(a << 32) + b for a, b in sorted(pairs)]))
+    rows.append((2, []))
+    got = spark.createDataFrame(rows, "n int, links array<bigint>").select(plain.alias("want"), louvain(spark, F.col("n"), F.col("links")).alias("got")).collect()
+    assert len(got) == 301 and all(x.want == x.got for x in got)
+    source = LOUVAIN.replace("class Louvain", "class CrampedLouvain").replace("bits < 32", "bits < 0")
+    cramped = java_function(spark, source, "pagewright.CrampedLouvain", ArrayType(IntegerType()))(F.col("n"), F.col("links"))
+    assert "bits < 0" in source and [x.c for x in spark.createDataFrame(rows, "n int, links array<bigint>").select(cramped.alias("c")).collect()] == [x.want for x in got]

@@ -123,6 +123,11 @@ def test_dashboard_of_a_larger_wiki(spark):
     assert time.perf_counter() - start < 150
 
 
+def test_dashboard_finds_the_pages_once(spark, data):
+    plan = P.q_dashboard(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding" not in plan and "indexed_at" not in plan  # each part that found the newest deliveries ranked them by indexed_at
+
+
 def test_peers_of_a_larger_wiki(spark):
     p, decls = linked_pages(spark)
     start = time.perf_counter()
